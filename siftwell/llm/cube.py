@@ -12,6 +12,7 @@ partitions: blocks and random steps derive from hashes of doc_id. The table of s
 task; documents never are.
 """
 
+import bisect
 import random
 
 import pyarrow as pa
@@ -48,6 +49,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
 def _flight(sizes: list[int], x: list[float], draw: random.Random, land: bool) -> None:
     """Moves x in place until at most two fractions are left, or none if land."""
     active: list[int] = []
+    start = list(x)
 
     def move(units: list[int], u: list[float]) -> None:
         up = min((1 - x[i]) / v if v > 0 else x[i] / -v for i, v in zip(units, u, strict=True) if v)
@@ -80,6 +82,23 @@ def _flight(sizes: list[int], x: list[float], draw: random.Random, land: bool) -
         best = min(ways, key=lambda w: abs(sum((v - x[i]) * sizes[i] for i, v in zip(active, w, strict=True))))
         for i, v in zip(active, best, strict=True):
             x[i] = v
+        _swap(sizes, start, x)
+
+
+def _swap(sizes: list[int], start: list[float], x: list[float]) -> None:
+    """Exchanges of a taken and a left unit of the last block, as long as one brings the words nearer to the target."""
+    for _ in range(len(x)):
+        over = sum((v - o) * a for v, o, a in zip(x, start, sizes, strict=True))
+        left = sorted((sizes[i], i) for i in range(len(x)) if x[i] == 0 and 0 < start[i] < 1)
+        best = (abs(over), None)
+        for i in (i for i in range(len(x)) if x[i] == 1 and 0 < start[i] < 1):
+            at = bisect.bisect(left, (sizes[i] - over, -1))
+            for a, j in left[max(0, at - 1) : at + 1]:
+                best = min(best, (abs(over + a - sizes[i]), (i, j)), key=lambda b: b[0])
+        if best[1] is None:
+            return
+        i, j = best[1]
+        x[i], x[j] = 0.0, 1.0
 
 
 def _blocks(group: pa.Table) -> pa.Table:
