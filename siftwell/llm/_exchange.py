@@ -87,9 +87,9 @@ def located(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[~new] if not len(keys) else keys[np.concatenate([[0], np.flatnonzero(new)])], place
 
 
-def asked(batch: int, kind: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> list[tuple]:
+def asked(batch: int, kind: int, keys: np.ndarray, counts: np.ndarray, ranges: int, bits: int = 64) -> list[tuple]:
     """Rows of ASK for sorted distinct keys: range r holds the keys of the r-th of equal parts of the key space."""
-    edges = np.searchsorted(keys, np.array([((r << 64) + ranges - 1) // ranges for r in range(1, ranges)], dtype=np.uint64))
+    edges = np.searchsorted(keys, np.array([((r << bits) + ranges - 1) // ranges for r in range(1, ranges)], dtype=np.uint64))
     edges = [0, *edges.tolist(), len(keys)]
     return [(batch, kind, r, pack(keys[a:b]), pack_numbers(counts[a:b])) for r, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
 
@@ -99,13 +99,13 @@ def rows(found: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def ask(placed: DataFrame, keys_of: Callable[[pa.Table], list[tuple[int, np.ndarray, np.ndarray]]], ranges: int) -> DataFrame:
+def ask(placed: DataFrame, keys_of: Callable[[pa.Table], list[tuple[int, np.ndarray, np.ndarray]]], ranges: int, bits: int = 64) -> DataFrame:
     """keys_of gives (kind, sorted distinct keys, counts) of a batch."""
     schema = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(group: pa.Table) -> pa.Table:
         batch = group.column("batch")[0].as_py()
-        return rows([x for kind, keys, counts in keys_of(group) for x in asked(batch, kind, keys, counts, ranges)], schema)
+        return rows([x for kind, keys, counts in keys_of(group) for x in asked(batch, kind, keys, counts, ranges, bits)], schema)
 
     return placed.groupBy("batch").applyInArrow(run, ASK)
 

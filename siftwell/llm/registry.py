@@ -1,12 +1,13 @@
 """The subpackage's queries and their SQL, for the registration in __spark_entry__.py."""
 
-from . import blob_ledger, cube, deleted_interpolation, gif, recompression
+from . import blob_ledger, cube, deleted_interpolation, gif, jaccard_join, recompression
 
 QUERIES = {
     "op1_deleted_interpolation": deleted_interpolation.op1_deleted_interpolation,
     "op2_blob_ledger": blob_ledger.op2_blob_ledger,
     "op3_cube": cube.op3_cube,
     "op5_gif": gif.op5_gif,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_recompression": recompression.op9_recompression,
 }
 
