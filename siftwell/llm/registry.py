@@ -1,11 +1,12 @@
 """The subpackage's queries and their SQL, for the registration in __spark_entry__.py."""
 
-from . import blob_ledger, cube, deleted_interpolation, gif, jaccard_join, recompression
+from . import blob_ledger, cube, deleted_interpolation, gif, jaccard_join, line_chunks, recompression
 
 QUERIES = {
     "op1_deleted_interpolation": deleted_interpolation.op1_deleted_interpolation,
     "op2_blob_ledger": blob_ledger.op2_blob_ledger,
     "op3_cube": cube.op3_cube,
+    "op4_line_chunks": line_chunks.op4_line_chunks,
     "op5_gif": gif.op5_gif,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_recompression": recompression.op9_recompression,
@@ -13,4 +14,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_blob_ledger": blob_ledger.OP2_SQL,
+    "op4_line_chunks": line_chunks.OP4_SQL,
 }
