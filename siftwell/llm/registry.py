@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, for the registration in __spark_entry__.py."""
 
-from . import blob_ledger, cube, deleted_interpolation, gif, jaccard_join, line_chunks, recompression
+from . import blob_ledger, crf_language, cube, deleted_interpolation, gif, jaccard_join, line_chunks, recompression
 
 QUERIES = {
     "op1_deleted_interpolation": deleted_interpolation.op1_deleted_interpolation,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_gif": gif.op5_gif,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_recompression": recompression.op9_recompression,
+    "op10_crf_language": crf_language.op10_crf_language,
 }
 
 ORACLE_SQL = {
