@@ -203,8 +203,8 @@ def fitted(docs: DataFrame, doc_id: str, text: str, lang: str, may_learn: Column
     return train([(r.lang, r.text) for r in rows if r.text])
 
 
-def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+def predicted(docs: DataFrame, model: Model, text: str = "text", names_out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score, in columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -215,7 +215,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     marked = docs.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = docs.withColumns({names_out[0]: F.lit(""), names_out[1]: F.lit(0.0)}).schema
     names = schema.names
     return marked.mapInArrow(run, schema)
 
