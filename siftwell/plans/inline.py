@@ -1,0 +1,4 @@
+"""Queries over small captured tables that both sides build."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}

@@ -1,4 +1,6 @@
-"""Queries over the reference operators and the SQL that they are compared with."""
+"""Queries over the reference operators, and the DuckDB SQL that they are compared with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import corpus, inline, site
+
+QUERIES: dict = corpus.QUERIES | site.QUERIES | inline.QUERIES
+ORACLE_SQL: dict = corpus.ORACLE_SQL | site.ORACLE_SQL | inline.ORACLE_SQL
