@@ -8,6 +8,9 @@ _EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])
 def to_java(pattern: str) -> str:
     """RE2's ASCII word edges and white space, its end of text and its dot, for java.util.regex."""
     out, i, in_class = ["(?d)"], 0, False
+    if re.match(r"\\b(?:\(\?:)?(?:[A-Za-z0-9]|\\d|\[[A-Za-z0-9-]+\])", pattern) and _all_start_with_words(pattern[2:]):
+        out.append("(?<![0-9A-Za-z_])")  # a word character follows, so the edge is one before it
+        i = 2
     while i < len(pattern):
         c = pattern[i]
         two = pattern[i : i + 2]
@@ -37,12 +40,26 @@ def to_java(pattern: str) -> str:
     return "".join(out)
 
 
-def required_literal(pattern: str, least: int = 4) -> str | None:
-    """The longest literal of at least `least` characters that every match contains, if one is plain to see."""
-    if "|" in pattern or "(?i" in pattern:
+def _all_start_with_words(rest: str) -> bool:
+    if not rest.startswith("(?:"):
+        return True
+    group = re.match(r"\(\?:([^()]*)\)", rest)
+    return bool(group) and all(re.match(r"[A-Za-z0-9]", x) for x in group[1].split("|"))
+
+
+def required_literal(pattern: str) -> tuple[str, bool] | None:
+    """The longest literal that every match contains, if one is plain to see, and whether its case is free."""
+    free = "(?i" in pattern
+    bare = re.sub(r"\(\?i\)", "", pattern)
+    bare = re.sub(r"\[[^\]]*\]|\\[a-zA-Z]", "\0", bare)
+    while (once := re.sub(r"\([^()]*\)(?:[*?+]|\{[^}]*\})?", "\0", bare)) != bare:
+        bare = once
+    if "|" in bare:
+        return None
+    bare = re.sub(r"(\\.|.)(?:[*?]|\{0)", "\0", bare)
+    bare = re.sub(r"\{[^}]*\}", "\0", bare)
+    found = [re.sub(r"\\(.)", r"\1", x) for x in re.split(r"[\0.*+?^$(){}\[\]|]", re.sub(r"\\\.", "\1", bare))]
+    best = max((x.replace("\1", ".") for x in found), key=len, default="")
+    if not best or len(best) == 1 and (best.isalnum() or best in " -_."):
         return None
-    bare = re.sub(r"\[[^\]]*\]|\\[a-zA-Z]|\([^()]*\)", "\0", pattern)
-    bare = re.sub(r"(\\.|.)(?=[*?]|\{0)", "\0", bare)
-    found = [re.sub(r"\\(.)", r"\1", x) for x in re.split(r"[\0.*+?^$(){}\[\]|]", bare)]
-    best = max(found, key=len, default="")
-    return best if len(best) >= least else None
+    return (best.lower() if free else best), free

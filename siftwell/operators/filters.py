@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 #: Words that are never secrets.
 NEVER_SECRET = (
     "function", "undefined", "prototype", "constructor", "arguments", "boolean", "default", "disabled", "readonly", "required",
@@ -51,8 +53,8 @@ def credential_value(match: Column) -> Column:
 
 def secret_like(value: Column) -> Column:
     """Six bytes and more, no common word, no words joined by hyphens."""
-    v = F.btrim(value, F.lit("\"'` "))
-    return (F.octet_length(v) >= 6) & ~F.lower(v).isin(*NEVER_SECRET) & ~v.rlike("^[a-z]+(?:-[a-z]+)+\\z")
+    plain = lambda v: (F.octet_length(v) >= 6) & ~F.lower(v).isin(*NEVER_SECRET) & ~v.rlike("^[a-z]+(?:-[a-z]+)+\\z")
+    return let(F.btrim(value, F.lit("\"'` ")), plain)
 
 
 def credential_like(match: Column) -> Column:
@@ -74,15 +76,16 @@ def host_name(host: Column) -> Column:
     return host.rlike(r"^(?:[a-z0-9-]+\.)+[a-z]{2,}\z")
 
 
+_NOISE = r"(?:^|\.)(?:" + "|".join(n.replace(".", r"\.") for n in NOISE_HOSTS) + r")\z"
+_DOTTED = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\z"
+
+
 def endpoint_url(url: Column) -> Column:
     """An address with a real host: no loopback, local or noise name."""
     host = F.lower(F.regexp_replace(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1), r"[\[\]]", ""))
-    ipv4 = host.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\z")
-    noise = F.lit(False)
-    for n in NOISE_HOSTS:
-        noise = noise | (host == n) | host.endswith("." + n)
-    named = host_name(host) & (host != "localhost") & ~host.endswith(".local") & ~noise
-    return ~url.contains("...") & F.when(ipv4, ~host.startswith("127.") & (host != "0.0.0.0")).otherwise(named)
+    named = lambda h: host_name(h) & ~h.endswith(".local") & ~h.rlike(_NOISE)
+    real = lambda h: F.when(h.rlike(_DOTTED), ~h.startswith("127.") & (h != "0.0.0.0")).otherwise(named(h))
+    return ~url.contains("...") & let(host, real)
 
 
 def endpoint_path(path: Column) -> Column:

@@ -28,7 +28,9 @@ def _hits(rule: Rule, line: Column) -> Column:
     if rule.name == "ipv6":
         found = F.filter(found, ipv6_like)
     literal = required_literal(rule.pattern)
-    return F.when(line.contains(literal), found) if literal else F.when(line.rlike(pattern), found)
+    if literal is None:
+        return F.when(line.rlike(pattern), found)
+    return F.when((F.lower(line) if literal[1] else line).contains(literal[0]), found)
 
 
 def _around(line: Column, pattern: str) -> Column:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 _PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 #: Extensions by yield, and path words of an interface.
@@ -41,30 +43,41 @@ def without_fragment(url: Column) -> Column:
 
 def without_dots(p: Column) -> Column:
     """RFC 3986 removal of dot segments from an absolute path."""
-    parts = F.split(F.regexp_replace(p, "^/", ""), "/")
-    last = F.element_at(parts, -1)
-    kept = F.aggregate(
-        parts, F.array().cast("array<string>"),
-        lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))),
-    )
+    return let(F.split(F.regexp_replace(p, "^/", ""), "/"), lambda x: let(_without_dots(x), lambda kept: _path(kept, F.element_at(x, -1))))
+
+
+def _without_dots(segments: Column) -> Column:
+    none = F.array().cast("array<string>")
+    up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+    return F.aggregate(segments, none, lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+
+
+def _path(kept: Column, last: Column) -> Column:
     closing = F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
     return F.concat(F.lit("/"), F.array_join(kept, "/"), closing)
 
 
+def parts(url: Column) -> Column:
+    """All parts at once, and the query with its question mark where there is one."""
+    u = without_fragment(url)
+    mark = F.when(F.instr(u, "?") > 0, F.concat(F.lit("?"), query(u))).otherwise(F.lit(""))
+    return F.struct(u.alias("all"), scheme(u).alias("scheme"), authority(u).alias("authority"), path(u).alias("path"), mark.alias("search"))
+
+
 def resolve(base: Column, ref: Column) -> Column:
     """The reference against the base, without its fragment."""
-    r = without_fragment(F.btrim(ref))
-    search = F.when(F.instr(r, "?") > 0, F.concat(F.lit("?"), query(r))).otherwise(F.lit(""))
-    rooted = F.concat(origin(base), without_dots(path(r)), search)
-    folder = F.regexp_replace(F.when(path(base) == "", F.lit("/")).otherwise(path(base)), "[^/]*$", "")
-    base_search = F.when(F.instr(without_fragment(base), "?") > 0, F.concat(F.lit("?"), query(base))).otherwise(F.lit(""))
-    same = F.concat(origin(base), path(base), F.when(search != "", search).otherwise(base_search))
+    return let(parts(base), lambda b: let(parts(F.btrim(ref)), lambda r: _resolved(b, r)))
+
+
+def _resolved(b: Column, r: Column) -> Column:
+    site = F.concat(b["scheme"], F.lit("://"), b["authority"])
+    folder = F.regexp_replace(F.when(b["path"] == "", F.lit("/")).otherwise(b["path"]), "[^/]*$", "")
+    full = F.when(r["path"].startswith("/"), r["path"]).otherwise(F.concat(folder, r["path"]))
     return (
-        F.when(scheme(r) != "", r)
-        .when(r.startswith("//"), F.concat(scheme(base), F.lit(":"), r))
-        .when(r.startswith("/"), rooted)
-        .when(path(r) == "", same)
-        .otherwise(F.concat(origin(base), without_dots(F.concat(folder, path(r))), search))
+        F.when(r["scheme"] != "", r["all"])
+        .when(r["all"].startswith("//"), F.concat(b["scheme"], F.lit(":"), r["all"]))
+        .when(r["path"] == "", F.concat(site, b["path"], F.when(r["search"] != "", r["search"]).otherwise(b["search"])))
+        .otherwise(F.concat(site, without_dots(full), r["search"]))
     )
 
 
@@ -89,12 +102,12 @@ def extension(p: Column) -> Column:
 
 def target_score(url: Column) -> Column:
     """How much a fetch of the address is likely to yield."""
-    p = F.lower(path(url))
-    ext = extension(p)
-    return (
-        F.when(ext.isin(*["." + x for x in RICH]), 100).when(p.rlike(API_PATH), 90).when(ext == "", 70)
-        .when(ext.isin(*["." + x for x in PAGES]), 40).otherwise(50)
-    )
+    return let(F.lower(path(url)), lambda p: let(extension(p), lambda ext: _score(p, ext)))
+
+
+def _score(p: Column, ext: Column) -> Column:
+    rich, page = (["." + x for x in names] for names in (RICH, PAGES))
+    return F.when(ext.isin(*rich), 100).when(p.rlike(API_PATH), 90).when(ext == "", 70).when(ext.isin(*page), 40).otherwise(50)
 
 
 def level(url: Column) -> Column:
@@ -105,8 +118,11 @@ def level(url: Column) -> Column:
 
 def levels(url: Column) -> Column:
     """The level and all above it, up to the root."""
-    parts = F.filter(F.split(level(url), "/"), lambda x: x != "")
-    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.when(i == 0, F.lit("/")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
+
+    def of(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(p)), lambda i: F.when(i == 0, F.lit("/")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(p, F.lit(1), i), "/"), F.lit("/"))))
+
+    return let(F.filter(F.split(level(url), "/"), lambda x: x != ""), of)
 
 
 def path_variants(p: Column) -> Column:

@@ -98,7 +98,7 @@ def levels_with_ancestors(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.explode(urls.levels(F.col("url"))).alias("level"))
 
 
-PERMUTED = f"""o AS (SELECT url, {part('url', 1)} || '://' || {part('url', 2)} AS origin, {SEGMENTS} AS p, list_filter(string_split({part('url', 3)}, '/'), lambda x: x <> '') AS q FROM pages WHERE page_id < 40),
+PERMUTED = f"""o AS (SELECT url, {part('url', 1)} || '://' || {part('url', 2)} AS origin, {SEGMENTS} AS p, list_filter(string_split({part('url', 3)}, '/'), lambda x: x <> '') AS q FROM pages),
   v AS (SELECT DISTINCT origin, unnest({LEVELS}) AS level FROM o),
   w AS (SELECT DISTINCT origin, unnest([array_to_string(q, '/'), array_to_string(q[greatest(2, 1):], '/'), array_to_string(q[greatest(len(q) - 1, 1):], '/'), q[-1]]) AS path FROM o WHERE len(q) > 0),
   made AS (SELECT DISTINCT origin || level || path AS url FROM v JOIN w USING (origin) WHERE path <> '')"""
@@ -107,13 +107,13 @@ PERMUTED = f"""o AS (SELECT url, {part('url', 1)} || '://' || {part('url', 2)} A
 @B.add("permute_candidates", f"WITH {PERMUTED} SELECT url, {SCORE} AS score FROM made WHERE url NOT IN (SELECT url FROM pages)")
 def permute_candidates(spark, sf_dir):
     p = _pages(spark, sf_dir)
-    return frontier.permuted(p.where("page_id < 40"), p)
+    return frontier.permuted(p, p)
 
 
 @B.add("permute_best", f"WITH {PERMUTED} SELECT url, {SCORE} AS score FROM made WHERE url NOT IN (SELECT url FROM pages) ORDER BY score DESC, url LIMIT 25")
 def permute_best(spark, sf_dir):
     p = _pages(spark, sf_dir)
-    return frontier.best(frontier.permuted(p.where("page_id < 40"), p), 25)
+    return frontier.best(frontier.permuted(p, p), 25)
 
 
 @B.add("scope_filter", f"WITH h AS (SELECT page_id, regexp_replace(lower({part('url', 2)}), '^www\\.', '') AS h FROM pages), b AS (SELECT h AS b FROM h WHERE page_id = 0) SELECT page_id FROM h, b WHERE h = b OR ends_with(h, '.' || b)")
