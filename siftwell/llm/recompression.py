@@ -37,7 +37,7 @@ class Parsed:
         room = np.repeat(stops, n) - start
         self.at = np.flatnonzero(room >= window)
         left, right = self.at, self.at + window
-        for r, kind in enumerate(rounds):
+        for r, kind in enumerate(rounds if total else ""):
             end = np.append(start[1:], total)
             first = opens[start]
             to_left, to_right = np.full(total + 1, total), np.zeros(total + 1, np.int64)
