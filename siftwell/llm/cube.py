@@ -86,19 +86,23 @@ def _flight(sizes: list[int], x: list[float], draw: random.Random, land: bool) -
 
 
 def _swap(sizes: list[int], start: list[float], x: list[float]) -> None:
-    """Exchanges of a taken and a left unit of the last block, as long as one brings the words nearer to the target."""
+    """Exchanges of a taken and a left unit of the last block, as long as one brings the words nearer to the target;
+    while they are more than a two-hundredth away, a unit may also come or go without another."""
+    wanted = sum(o * a for o, a in zip(start, sizes, strict=True))
     for _ in range(len(x)):
-        over = sum((v - o) * a for v, o, a in zip(x, start, sizes, strict=True))
-        left = sorted((sizes[i], i) for i in range(len(x)) if x[i] == 0 and 0 < start[i] < 1)
+        over = sum(v * a for v, a in zip(x, sizes, strict=True)) - wanted
+        alone = [(0, -1)] if abs(over) > wanted / 200 else []
+        left = sorted([(sizes[i], i) for i in range(len(x)) if x[i] == 0 and 0 < start[i] < 1] + alone)
         best = (abs(over), None)
-        for i in (i for i in range(len(x)) if x[i] == 1 and 0 < start[i] < 1):
-            at = bisect.bisect(left, (sizes[i] - over, -1))
-            for a, j in left[max(0, at - 1) : at + 1]:
-                best = min(best, (abs(over + a - sizes[i]), (i, j)), key=lambda b: b[0])
+        for a, i in [(sizes[i], i) for i in range(len(x)) if x[i] == 1 and 0 < start[i] < 1] + alone:
+            at = bisect.bisect(left, (a - over, -1))
+            for b, j in left[max(0, at - 1) : at + 1]:
+                best = min(best, (abs(over + b - a), (i, j)), key=lambda t: t[0])
         if best[1] is None:
             return
-        i, j = best[1]
-        x[i], x[j] = 0.0, 1.0
+        for i, v in zip(best[1], (0.0, 1.0), strict=True):
+            if i >= 0:
+                x[i] = v
 
 
 def _blocks(group: pa.Table) -> pa.Table:
