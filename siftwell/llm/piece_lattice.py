@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import table
 
@@ -280,7 +281,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, scores
                 yield pa.RecordBatch.from_arrays([*kept, ids, pa.array(best, pa.list_(pa.float64())), pa.array(intact)], names=names)
 
     kept = docs.drop(text)
-    schema = kept.withColumns({"ids": F.array().cast("array<int>"), "nbest": F.array().cast("array<double>"), "intact": F.lit(True)}).schema
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL("ids array<int>, nbest array<double>, intact boolean").fields])
     names = schema.names
     return docs.select(*kept.columns, text).mapInArrow(run, schema)
 
