@@ -102,7 +102,7 @@ def link_headers(rows: DataFrame, url: str = "url", header: str = "link") -> Dat
 
 
 def source_map_reference(body: Column, header: Column) -> Column:
-    last = F.element_at(all_of(body, r"""sourceMappingURL=([^\s'"]+)"""), -1)
+    last = F.try_element_at(all_of(body, r"""sourceMappingURL=([^\s'"]+)"""), F.lit(-1))
     return F.coalesce(F.nullif(F.btrim(header), F.lit("")), F.btrim(F.regexp_replace(last, r"\*/$", "")))
 
 
