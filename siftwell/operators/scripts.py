@@ -179,4 +179,4 @@ def retry_after(value: Column, now: Column) -> Column:
     """Seconds to wait: a number, or the time until an HTTP date; null if neither."""
     seconds = value.try_cast("long")
     date = F.try_to_timestamp(F.regexp_replace(value, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(seconds, F.greatest(F.unix_timestamp(date) - F.unix_timestamp(now), F.lit(0)))
+    return F.coalesce(seconds, F.when(date.isNotNull(), F.greatest(F.unix_timestamp(date) - F.unix_timestamp(now), F.lit(0))))
