@@ -129,6 +129,10 @@ def valid_hint(name: str) -> bool:
     return 0 < len(name.encode()) <= 128 and not re.search(r"[\x00-\x20\x7f&=#?/%\\\"'`]", name)
 
 
+def valid_hint_name(name: Column) -> Column:
+    return (name != "") & (F.octet_length(name) <= 128) & ~name.rlike("[\\x00-\\x20\\x7f&=#?/%\\\\\"'`]")
+
+
 def joined_literals(text: str) -> list[str]:
     """Sorted values that a script puts together from literals with + and that it does not hold as they are."""
     out = set()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import extract, filters, frontier, reduce, rules, scan, scripts, urls, verdicts
+from ..operators import evidence, extract, filters, frontier, reduce, rules, scan, scripts, urls, verdicts
 from ._book import Book, Inline, literal
 from .corpus import _is_secret, scan_sql
 from .site import LEVELS, SEGMENTS, part
@@ -311,3 +311,54 @@ def snippets(spark, sf_dir):
     return SCRIPTS.df(spark).select("id", scripts.snippet(F.col("body"), F.lit("fetch("), 10).alias("snippet")).where("snippet is not null")
 
 
+
+
+ARCHIVE = Inline("provider string, raw_url string, seq int", [
+    ("a", "http://example.com/api/users?token=x&id=1", 1), ("b", "https://EXAMPLE.com./api/users", 2), ("a", "http://example.com/app.js", 3), ("a", "https://other.com/x", 4), ("a", "http://example.com/", 5),
+    ("a", "http://example.com/logo.png", 6), ("a", "http://example.com/a/%2e%2e/b", 7), ("a", "ftp://example.com/z", 8), ("b", "http://example.com/about.html", 9), ("b", "http://example.com/x.html", 10),
+])
+
+
+@B.add("passive_ranking", f"""WITH c AS (SELECT *, {part('raw_url', 3)} AS p FROM {ARCHIVE.sql}), k AS (SELECT DISTINCT ON (p) 'https://example.com:8443' || p AS url, provider, p FROM c WHERE regexp_matches(raw_url, '^https?://') AND lower(rtrim({part('raw_url', 2)}, '.')) = 'example.com' AND p NOT IN ('', '/') AND NOT regexp_matches(p, '(?i)/(%2e|\\.){{1,2}}(/|$)') AND NOT regexp_matches(p, '\\.png$') ORDER BY p, seq)
+  SELECT url, provider, CASE WHEN regexp_matches(p, '\\.js$') THEN 100 WHEN regexp_matches(p, '/api/') THEN 90 WHEN regexp_matches(p, '\\.html$') THEN 40 ELSE 70 END AS score FROM k""")
+def passive_ranking(spark, sf_dir):
+    return evidence.passive_candidates(ARCHIVE.df(spark), "https://example.com:8443/start").select("url", "provider", "score")
+
+
+SEEDS = Inline("pattern string, value string, ord int", [("endpoint_url", "https://a.test/x", 1), ("endpoint_path", "/y.html", 2), ("endpoint_path", "/api/z", 3), ("endpoint_path", "/s.js", 4), ("endpoint_url", "https://b.test/q", 5), ("email", "/n", 6), ("gathered_url", "https://www.a.test", 7), ("endpoint_path", "/y.html#f", 8)])
+
+
+@B.add("dom_seeds", f"WITH v AS (SELECT ord, CASE WHEN starts_with(value, '/') THEN 'https://a.test' || value WHEN value = 'https://www.a.test' THEN value || '/' ELSE value END AS u, pattern FROM {SEEDS.sql}), w AS (SELECT min(ord) AS ord, regexp_replace(u, '#.*', '') AS url FROM v WHERE pattern <> 'email' AND regexp_matches(u, '^https://(www\\.)?a\\.test') AND NOT regexp_matches(u, '/api/|\\.js$') GROUP BY 2) SELECT url FROM w")
+def dom_seeds(spark, sf_dir):
+    return evidence.document_seeds(SEEDS.df(spark), "https://a.test/")
+
+
+NAVIGATED = Inline("id int, value string", list(enumerate(["https://x.test/MARK", "//MARK.test/", "/p?q=MARK", "?MARK", "#MARK", "rel/MARK", "javascript:MARK", "data:text/html,MARK", "mailto:MARK", "none"])))
+
+
+@B.add("url_evidence", f"SELECT id, CASE WHEN regexp_matches(value, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'absolute' WHEN starts_with(value, '//') THEN 'protocol_relative' WHEN starts_with(value, '/') THEN 'root_relative' WHEN starts_with(value, '?') THEN 'query_relative' WHEN starts_with(value, '#') THEN 'fragment_relative' ELSE 'path_relative' END AS kind, regexp_matches(value, '^(javascript|vbscript|data:text/(html|javascript))') AS executable, NOT regexp_matches(value, '^([a-z]+:|//)') AS same_origin, CASE WHEN regexp_matches(value, '^(https:)?//MARK') THEN 'authority' WHEN contains(value, '?') THEN 'query' WHEN starts_with(value, '#') THEN 'fragment' WHEN regexp_matches(value, '^(javascript|data|mailto)') THEN 'opaque' WHEN contains(value, 'MARK') THEN 'path' ELSE '' END AS component FROM {NAVIGATED.sql}")
+def url_evidence(spark, sf_dir):
+    e = evidence.url_evidence(F.col("value"), F.lit("https://a.test/d/p"), F.lit("MARK"))
+    return NAVIGATED.df(spark).select("id", e.alias("e")).select("id", "e.kind", "e.executable", "e.same_origin", "e.component")
+
+
+STACKS = Inline("id int, stack string", [(1, "Error\n    at f (https://a.test/x.js:10:5)\n    at https://a.test/y.js:2:1\n    at g (native)"), (2, "none")])
+
+
+@B.add("stack_frames", f"WITH l AS (SELECT id, unnest(string_split(stack, chr(10))) AS x FROM {STACKS.sql}) SELECT id, regexp_extract(x, 'at (.*?) \\(', 1) AS function, regexp_extract(x, '(https?://.*):\\d+:\\d+', 1) AS url, CAST(regexp_extract(x, ':(\\d+):\\d+\\)?$', 1) AS INTEGER) AS line FROM l WHERE regexp_matches(x, 'https?://.*:\\d+:\\d+')")
+def stack_frames(spark, sf_dir):
+    return STACKS.df(spark).select("id", F.explode(evidence.stack_frames(F.col("stack"))).alias("f")).select("id", "f.function", "f.url", "f.line")
+
+
+TRIAGE = Inline("id int, context string, confirmed boolean, resolved boolean, executable boolean, same_origin boolean", [(1, "js", False, None, None, None), (2, "url", False, False, False, False), (3, "url", False, True, True, True), (4, "url", False, True, False, False), (5, "url", False, True, False, True), (6, "html", True, None, None, None), (7, "url", False, None, None, None)])
+
+
+@B.add("flow_triage", f"SELECT id, CASE WHEN confirmed THEN 'confirmed' WHEN context = 'url' AND resolved AND NOT executable AND same_origin THEN 'likely_benign' ELSE 'worth_review' END AS verdict FROM {TRIAGE.sql}")
+def flow_triage(spark, sf_dir):
+    return TRIAGE.df(spark).select("id", evidence.flow_triage(F.col("context"), F.col("confirmed"), F.struct("resolved", "executable", "same_origin")).alias("verdict"))
+
+
+@B.add("flow_identity", f"SELECT id, substr(sha256(array_to_string(['flow', 'https://a.test', CASE WHEN id % 2 = 0 THEN '/p' ELSE '' END, 'query:q', 'innerHTML:0', context, CASE WHEN id % 2 = 0 THEN '' ELSE 'x.js' END], chr(31))), 1, 32) AS fingerprint FROM {FLOWS.sql}")
+def flow_identity(spark, sf_dir):
+    script = F.when(F.col("id") % 2 == 0, "").otherwise("x.js")
+    return FLOWS.df(spark).select("id", evidence.flow_identity(F.lit("flow"), F.lit("https://a.test"), F.lit("/p"), script, F.lit("query:q"), F.lit("innerHTML:0"), F.col("context")).alias("fingerprint"))
