@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ._common import table
 
 DIVISOR, LEAST_LINES, BASE = 3, 2, 31
-_NEW = ("__id", "__th", "__chunks", "__gone")
 
 
 def _line_hash(line: Column) -> Column:
