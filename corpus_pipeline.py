@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from siftwell.llm import crf_language, cube, jaccard_join, line_chunks, piece_lattice
 from siftwell.llm._common import saved, table
 
-#: A document stays if its best language has this share of its words at least.
-LEAST_SHARE = 0.5
+#: A document stays if its best language has this share of its words at least. Code-switched documents stay: only one
+#: in which no language stands out goes.
+LEAST_SHARE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
