@@ -25,7 +25,7 @@ from ._tokens import U, bounds, hashed, mix
 
 TABLE_BITS, CHAIN, GRAMS = 18, 512, (1, 2, 3, 4)
 SAMPLE, SEGMENTS, SEGMENT, EPOCHS, RATE = 300, 8000, 24, 4, 0.2
-SWITCH, PIECE = 0.15, 4_000_000
+SWITCH, PIECE = 0.15, 1_500_000
 
 # letters and all bytes beyond ASCII stay, the line feed stays as a mark of its own, all else separates words
 _MAP = np.full(256, 0x20, np.uint8)
