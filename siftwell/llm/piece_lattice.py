@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 from ._common import table
 
 SPACE, LITERAL = "▁", "▁"
-N_BEST, PART, CACHE, UNIT = 4, 256, 150_000, 1_000_000
+N_BEST, PART, CACHE, UNIT = 4, 256, 400_000, 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -51,6 +51,7 @@ class Vocabulary:
     trie: dict
     cache: dict = field(default_factory=dict, repr=False, compare=False)
     old: dict = field(default_factory=dict, repr=False, compare=False)
+    ways: dict = field(default_factory=dict, repr=False, compare=False)
 
 
 def load(path: str, scores: str = "zipf") -> Vocabulary:
@@ -233,9 +234,7 @@ def segmented(v: Vocabulary, text: str, n: int = N_BEST) -> list[tuple[int, byte
     close = heapq.nsmallest(n - 1, [(p[1], i) for i, p in enumerate(parts) if p[1] >= 0])
     options = []
     for _, i in close:
-        top = parts[i][2]
-        rest = [x for x in n_best(v, names[i], n) if x[1] != top][: n - 1]
-        options.append([(0, top), *((parts[i][0] - score, numbers) for score, numbers in rest)])
+        options.append(_choices(v, names[i], parts[i], n))
     ways = sorted(((sum(o[0] for o in way), k) for k, way in enumerate(itertools.product(*options))))[:n]
     chosen = list(itertools.product(*options))
     numbers = [p[2] for p in parts]
@@ -249,6 +248,18 @@ def segmented(v: Vocabulary, text: str, n: int = N_BEST) -> list[tuple[int, byte
     return out
 
 
+def _choices(v: Vocabulary, name: str, part: tuple[int, int, bytes], n: int) -> list[tuple[int, bytes]]:
+    """(loss, numbers) of the n best segmentations of a part, the best one as viterbi() has it."""
+    found = v.ways.get((name, n))
+    if found is None:
+        score, _, top = part
+        found = [(0, top), *((score - x, numbers) for x, numbers in n_best(v, name, n) if numbers != top)][:n]
+        if len(v.ways) >= CACHE // 10:
+            v.ways.clear()
+        v.ways[name, n] = found
+    return found
+
+
 def decode(v: Vocabulary, numbers: bytes) -> str:
     return _surface(v, numbers)[1:].decode()
 
