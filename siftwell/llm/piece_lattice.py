@@ -11,8 +11,9 @@ ranks, a piece of rank r counts as probability in proportion to 1 / (r + 2.7), Z
 scores of the file as they are.
 
 Nulls: a null text stays null: no pieces, score 0. An empty text has no pieces. Empty table: empty result. Repeated rows
-get equal results. Ties: in an order that depends on the text alone. Texts of any length are read whole; a part that
-is longer than PART characters is cut there. Decoding gives the text back byte by byte.
+get equal results. Ties: in an order that depends on the text alone. Texts of any length are read whole: a part that
+is longer than PART characters falls apart where no piece crosses, which loses no segmentation, and what is still longer
+is searched as it is, outside the cache. Decoding gives the text back byte by byte.
 """
 
 import heapq
@@ -49,6 +50,7 @@ class Vocabulary:
     bytes_of: list[bytes]
     split: str
     trie: dict
+    longest: int
     cache: dict = field(default_factory=dict, repr=False, compare=False)
     old: dict = field(default_factory=dict, repr=False, compare=False)
     ways: dict = field(default_factory=dict, repr=False, compare=False)
@@ -74,7 +76,7 @@ def load(path: str, scores: str = "zipf") -> Vocabulary:
         raise ValueError("a piece has a space after another character")
     bare = "".join(c for c in map(chr, range(0x20)) if not any(c in p for p in ids))
     split = f"[{re.escape(bare)}]|{SPACE}*[^{SPACE}{re.escape(bare)}]+|{SPACE}+"
-    return Vocabulary(ids, byte_ids, min(s for _, s in ids.values()) - 10 * UNIT, bytes_of, split, _trie(ids))
+    return Vocabulary(ids, byte_ids, min(s for _, s in ids.values()) - 10 * UNIT, bytes_of, split, _trie(ids), max(map(len, ids)))
 
 
 def _trie(ids: dict[str, tuple[int, int]]) -> dict:
@@ -99,7 +101,7 @@ def viterbi(v: Vocabulary, part: str) -> tuple[int, int, bytes]:
     The second best leaves the best path at some place for the next best edge into it, and is at its best from
     there back to the start.
     """
-    size, root = len(part), v.trie
+    size, root, longest, ids = len(part), v.trie, v.longest, v.ids
     ahead: list = [None] * (size + 1)
     ahead[0] = 0
     second: list = [None] * (size + 1)
@@ -109,7 +111,7 @@ def viterbi(v: Vocabulary, part: str) -> tuple[int, int, bytes]:
         if base is None:
             continue
         node, j = root, i
-        for c in part[i:]:
+        for c in part[i : i + longest]:
             node = node.get(c)
             if node is None:
                 break
@@ -124,7 +126,7 @@ def viterbi(v: Vocabulary, part: str) -> tuple[int, int, bytes]:
                     ahead[j], second[j], via[j] = score, old, (i, found[0])
                 elif second[j] is None or score > second[j]:
                     second[j] = score
-        if part[i] not in v.ids:
+        if part[i] not in ids:
             piece, cost = _bytes_edge(v, part[i])
             score, j = base + cost, i + 1
             if ahead[j] is None:
@@ -146,35 +148,47 @@ def viterbi(v: Vocabulary, part: str) -> tuple[int, int, bytes]:
     return ahead[size], lead, struct.pack(f"<{len(numbers)}i", *numbers)
 
 
-def n_best(v: Vocabulary, part: str, n: int) -> list[tuple[int, bytes]]:
-    """The n best segmentations of a part, best first: (score, numbers as little-endian 32-bit integers)."""
-    size, root = len(part), v.trie
-    ahead: list = [None] * (size + 1)
-    ahead[0] = 0
-    into: list[list] = [[] for _ in range(size + 1)]
-
-    def edge(i: int, j: int, score: int, piece) -> None:
-        into[j].append((i, score, piece))
-        if ahead[j] is None or ahead[i] + score > ahead[j]:
-            ahead[j] = ahead[i] + score
-
-    for i in range(size):
-        if ahead[i] is None:
-            continue
-        node = root
-        for j in range(i, size):
-            node = node.get(part[j])
+def _forward(v: Vocabulary, part: str) -> list[int]:
+    """The best score from the start to each place of a part."""
+    ahead: list = [0] + [None] * len(part)
+    for i in range(len(part)):
+        base, node = ahead[i], v.trie
+        for j, c in enumerate(part[i : i + v.longest], i + 1):
+            node = node.get(c)
             if node is None:
                 break
-            if "" in node:
-                edge(i, j + 1, node[""][1], node[""][0])
+            found = node.get("")
+            if found is not None and (ahead[j] is None or base + found[1] > ahead[j]):
+                ahead[j] = base + found[1]
         if part[i] not in v.ids:
-            piece, cost = _bytes_edge(v, part[i])
-            edge(i, i + 1, cost, piece)
+            score = base + _bytes_edge(v, part[i])[1]
+            if ahead[i + 1] is None or score > ahead[i + 1]:
+                ahead[i + 1] = score
+    return ahead
+
+
+def _into(v: Vocabulary, part: str, at: int):
+    """(start, score, piece) of the edges that end at a place."""
+    for start in range(max(0, at - v.longest), at):
+        found = v.ids.get(part[start:at])
+        if found is not None:
+            yield start, found[1], found[0]
+    if part[at - 1] not in v.ids:
+        piece, cost = _bytes_edge(v, part[at - 1])
+        yield at - 1, cost, piece
+
+
+def n_best(v: Vocabulary, part: str, n: int) -> list[tuple[int, bytes]]:
+    """The n best segmentations of a part, best first: (score, numbers as little-endian 32-bit integers).
+
+    Of equal totals the one nearest to the start goes first, so each search goes straight there; a branch that n others
+    already match or beat is not kept.
+    """
+    size, ahead = len(part), _forward(v, part)
     out: list[tuple[int, bytes]] = []
-    heap, turn = [(-ahead[size], 0, size, 0, ())], 1
+    heap, turn, least = [(-ahead[size], size, 0, 0, ())], 1, [ahead[size]]
     while heap:
-        total, _, at, behind, tail = heapq.heappop(heap)
+        total, at, _, behind, tail = heapq.heappop(heap)
         if not at:
             numbers: list[int] = []
             while tail:
@@ -184,12 +198,40 @@ def n_best(v: Vocabulary, part: str, n: int) -> list[tuple[int, bytes]]:
             if len(out) == n:
                 break
             continue
-        for start, score, piece in into[at]:
-            heapq.heappush(heap, (-(behind + score + ahead[start]), turn, start, behind + score, (piece, tail)))
+        onward = False
+        for start, score, piece in _into(v, part, at):
+            whole = behind + score + ahead[start]
+            if whole == -total and not onward:
+                onward = True
+            elif len(least) < n:
+                heapq.heappush(least, whole)
+            elif whole > least[0]:
+                heapq.heapreplace(least, whole)
+            else:
+                continue
+            heapq.heappush(heap, (-whole, start, turn, behind + score, (piece, tail)))
             turn += 1
     return out
 
 
+def _uncrossed(v: Vocabulary, part: str) -> list[str]:
+    """A part cut at the places that no piece crosses: each of its segmentations is one of every cut's."""
+    out, start, reach, root = [], 0, 0, v.trie
+    for i in range(len(part)):
+        if i and reach <= i:
+            out.append(part[start:i])
+            start = i
+        node = root
+        for j, c in enumerate(part[i : i + v.longest], i + 1):
+            node = node.get(c)
+            if node is None:
+                break
+            if j > reach and "" in node:
+                reach = j
+    out.append(part[start:])
+    return out
+
+
 def _literal(v: Vocabulary) -> tuple[int, int, bytes]:
     piece, cost = _bytes_edge(v, SPACE)
     return cost, -1, struct.pack(f"<{len(piece)}i", *piece)
@@ -198,8 +240,8 @@ def _literal(v: Vocabulary) -> tuple[int, int, bytes]:
 def _parts(v: Vocabulary, text: str) -> tuple[list[str], list[tuple[int, int, bytes]]]:
     """The parts of a text in order, and viterbi() of each."""
     found = re.findall(v.split, SPACE + text.replace(" ", SPACE)) if SPACE not in text else _with_literals(v, text)
-    if any(len(p) > PART for p in found):
-        found = [p[i : i + PART] for p in found for i in range(0, len(p), PART)]
+    if max(map(len, found)) > PART:
+        found = [x for p in found for x in (_uncrossed(v, p) if len(p) > PART else (p,))]
     young, old, out = v.cache, v.old, []
     for p in found:
         best = young.get(p)
@@ -207,7 +249,7 @@ def _parts(v: Vocabulary, text: str) -> tuple[list[str], list[tuple[int, int, by
             best = old.get(p)
             if best is None:
                 best = _literal(v) if p is LITERAL else viterbi(v, p)
-            if p is not LITERAL:
+            if p is not LITERAL and len(p) <= PART:
                 young[p] = best
             if len(young) >= CACHE:
                 v.old = old = young
@@ -254,9 +296,10 @@ def _choices(v: Vocabulary, name: str, part: tuple[int, int, bytes], n: int) ->
     if found is None:
         score, _, top = part
         found = [(0, top), *((score - x, numbers) for x, numbers in n_best(v, name, n) if numbers != top)][:n]
-        if len(v.ways) >= CACHE // 10:
-            v.ways.clear()
-        v.ways[name, n] = found
+        if len(name) <= PART:
+            if len(v.ways) >= CACHE // 10:
+                v.ways.clear()
+            v.ways[name, n] = found
     return found
 
 

@@ -222,6 +222,30 @@ def test_n_best_are_the_best_of_all(vocabulary, text):
     assert all(piece_lattice.decode(vocabulary, w[1]) == text for w in ways)
 
 
+def best_of_all(v, text, n):
+    """The n best scores, from the n best of every shorter beginning."""
+    s = piece_lattice.SPACE + text.replace(" ", piece_lattice.SPACE)
+    best = [[0]]
+    for j in range(1, len(s) + 1):
+        found = [x + v.ids[s[i:j]][1] for i in range(max(0, j - 64), j) if s[i:j] in v.ids for x in best[i]]
+        if s[j - 1] not in v.ids:
+            found += [x + v.byte_score * len(s[j - 1].encode()) for x in best[j - 1]]
+        best.append(sorted(found, reverse=True)[:n])
+    return best[-1]
+
+
+LONG = ["thequickbrownfoxjumpsoverthelazydogandthenrunsagain" * 8, " " * 700 + "x", "=" * 1003, "a" * 999, "0f3c9aB+/" * 70, "東京は日本の首都です。" * 40, "é" * 300, "x " + "information" * 60 + " y"]
+
+
+@pytest.mark.parametrize("text", LONG, ids=range(len(LONG)))
+def test_long_runs_without_a_space_are_searched_whole(vocabulary, text):
+    assert max(map(len, vocabulary.ids)) <= 64
+    ways = piece_lattice.segmented(vocabulary, text, 4)
+    assert [w[0] for w in ways] == best_of_all(vocabulary, text, 4)
+    assert len({w[1] for w in ways}) == len(ways)
+    assert all(piece_lattice.decode(vocabulary, w[1]) == text for w in ways)
+
+
 def test_pieces_give_the_text_back(docs, pairs, empty, vocabulary):
     got = {r.doc_id: r for r in piece_lattice.encoded(docs.select("doc_id", "text", "source")).collect()}
     for i, t, _, _ in pairs:
