@@ -5,7 +5,9 @@ make balanced binary codes (iterative quantisation); further rotations from othe
 cut into tables of s bits, s being the logarithm of the number of vectors, so a bucket holds few. Vectors meet if
 their keys in some table differ in one bit at most: the one with a 0 there asks for the bucket with a 1. Candidates
 whose whole codes are too far apart for the threshold go; the rest are reranked by the cosine of the vectors themselves in
-double precision. The number of tables follows from s: at the threshold a pair meets with probability RECALL.
+double precision. At the threshold a pair meets with probability RECALL: the number of tables and the most differing bits are
+taken from pairs at the threshold that are made from the sample and coded by the learned projection itself, since centring
+widens the angles of vectors with a common direction. Where that takes about as many buckets as there are vectors, every vector is compared with every other.
 
 Equal vectors form one class and go on as one; links between different vectors are counted all, as n_links asks for.
 
@@ -15,6 +17,7 @@ Empty table: empty result. Repeated rows are vectors of their own. The sample (S
 every vector is indexed.
 """
 
+import functools
 import math
 
 import numpy as np
@@ -26,6 +29,8 @@ from ._common import saved, table
 from ._components import components
 
 COSINE, RECALL, SAMPLE, STEPS = 0.95, 0.98, 4096, 40
+#: Pairs at the threshold of each kind that size the tables; vectors that all others are compared with at once.
+PAIRS, BLOCK = 4096, 8192
 
 
 def flip_rate(cosine: float) -> float:
@@ -63,13 +68,56 @@ def learned(x: np.ndarray, bits: int, seed: int = 6) -> tuple[np.ndarray, np.nda
     return mean, np.concatenate(blocks, 1)
 
 
+def at_threshold(x: np.ndarray, cosine: float, seed: int = 8) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at this cosine: vectors of the sample moved any way, and moved along differences of other vectors."""
+    rng = np.random.default_rng(seed)
+    a, b, c = (x[rng.integers(0, len(x), PAIRS)] for _ in range(3))
+    out = []
+    for way in (rng.standard_normal(a.shape), b - c):
+        way = way - (way * a).sum(1, keepdims=True) * a
+        size = np.linalg.norm(way, axis=1)
+        some = size > 1e-6
+        out.append((a[some], cosine * a[some] + math.sqrt(1 - cosine * cosine) * way[some] / size[some, None]))
+    return [p for p in out if len(p[0])]
+
+
+def _meeting(u: np.ndarray, s: int) -> np.ndarray:
+    """Whether each pair's keys differ in one bit at most in some table; u has the differing bits."""
+    return (u.reshape(len(u), -1, s).sum(2) <= 1).any(1)
+
+
+def fitted(x: np.ndarray, n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int, int, np.ndarray, np.ndarray] | None:
+    """(bits of a table, tables, most differing bits of a code, mean, projection) for n vectors like the sample x.
+
+    layout() is where it starts; tables are added until the made pairs meet often enough. The code has the bits of
+    layout()'s tables. None: so many tables cost more than comparing all vectors.
+    """
+    s, m, far = layout(n, cosine, recall)
+    code = s * m
+    mean, projection = learned(x, code)
+    differ = lambda p, q, w: ((p - mean) @ w >= 0) != ((q - mean) @ w >= 0)
+    pairs = at_threshold(x, cosine)
+    first = [differ(p, q, projection) for p, q in pairs]
+    met = [_meeting(u, s) for u in first]
+    apart = [u.sum(1) for u in first]
+    far = max([far, *(max(int(k.max()), math.ceil(k.mean() + 4.5 * k.std())) for k in apart)])
+    while any(k.mean() < recall for k in met):
+        more = max(1, min(m // 4, 2048 // s))
+        if 2 * (m + more) * (s + 1) > n or (m + more) * s > 1 << 16:
+            return None
+        new = learned(x, s * more, 6 + m)[1]
+        met = [k | _meeting(differ(p, q, new), s) for k, (p, q) in zip(met, pairs, strict=True)]
+        projection, m = np.concatenate([projection, new], 1), m + more
+    return s, m, far, mean, projection
+
+
 def _normal(rows: list) -> np.ndarray:
     x = np.array(rows, np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def coded(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, s: int, m: int) -> DataFrame:
-    """(rep, keys, code): the key of each table, and the whole code in words of 63 bits."""
+def coded(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, s: int, m: int, code: int) -> DataFrame:
+    """(rep, keys, code): the key of each table, and the code, so many first bits, in words of 63 bits."""
     shared = classes.sparkSession.sparkContext.broadcast((mean, projection))
 
     def run(batches):
@@ -79,7 +127,7 @@ def coded(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, s: int,
                 continue
             bit = (_normal(batch.column("embedding").to_pylist()) - mean) @ projection >= 0
             keys = bit.reshape(len(bit), m, s) @ (1 << np.arange(s, dtype=np.int64))
-            words = [bit[:, a : a + 63] @ (1 << np.arange(min(63, bit.shape[1] - a), dtype=np.int64)) for a in range(0, bit.shape[1], 63)]
+            words = [bit[:, a : min(code, a + 63)] @ (1 << np.arange(min(63, code - a), dtype=np.int64)) for a in range(0, code, 63)]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(keys.tolist(), pa.list_(pa.int64())), pa.array(np.stack(words, 1).tolist(), pa.list_(pa.int64()))], names=["rep", "keys", "code"])
 
     return classes.select("rep", "embedding").mapInArrow(run, "rep bigint, keys array<bigint>, code array<bigint>")
@@ -95,6 +143,41 @@ def candidates(codes: DataFrame, s: int, far: int) -> DataFrame:
     return met.where(apart <= far).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
+def every_link(classes: DataFrame, n: int, cosine: float) -> DataFrame:
+    """(a, b, ma, mb) as reranked() of all pairs of n classes: a block of them at a time goes to every task."""
+    spark = classes.sparkSession
+    blocks = math.ceil(n / BLOCK)
+    block = F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(blocks))
+    out = []
+    for k in range(blocks):
+        rows = classes.where(block == k).select("rep", "m", "embedding").collect()
+        if not rows:
+            continue
+        own = (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.float64))
+        out.append(saved(classes.select("rep", "m", "embedding").mapInArrow(_against(spark.sparkContext.broadcast(own), cosine), "a bigint, b bigint, ma bigint, mb bigint"), "links"))
+    return functools.reduce(DataFrame.union, out)
+
+
+def _against(shared, cosine: float):
+    def run(batches):
+        reps, ms, y = shared.value
+        ny = np.linalg.norm(y, axis=1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rep, m = (part.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "m"))
+                x = np.array(part.column("embedding").to_pylist(), np.float64)
+                nx = np.linalg.norm(x, axis=1)
+                i, j = np.nonzero((x / nx[:, None]) @ (y / ny[:, None]).T >= cosine - 1e-9)
+                some = rep[i] < reps[j]
+                i, j = i[some], j[some]
+                some = (x[i] * y[j]).sum(1) / (nx[i] * ny[j]) >= cosine
+                i, j = i[some], j[some]
+                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (rep[i], reps[j], m[i], ms[j])], names=["a", "b", "ma", "mb"])
+
+    return run
+
+
 def _bit(b):
     return F.call_function("shiftleft", F.lit(1).cast("long"), b)
 
@@ -114,6 +197,17 @@ def reranked(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb", "va", "vb").mapInArrow(run, "a bigint, b bigint, ma bigint, mb bigint")
 
 
+def linked(usable: DataFrame, chosen: list, cosine: float) -> DataFrame:
+    """(a, b, ma, mb) of classes of one length at this cosine or above; chosen is a sample of their vectors."""
+    n = usable.count()
+    found = fitted(_normal(chosen), n, cosine)
+    if found is None:
+        return every_link(usable, n, cosine)
+    s, m, far, mean, projection = found
+    codes = saved(coded(usable, mean, projection, s, m, s * layout(n, cosine)[1]), "codes")
+    return saved(reranked(saved(candidates(codes, s, far), "candidates"), usable, cosine), "links")
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     v = F.col(embedding)
@@ -125,11 +219,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     chosen = [r[0] for r in classes.select("embedding", F.xxhash64("rep", F.lit(6)).alias("o"), "rep").orderBy("o", "rep").limit(sample).collect()]
     lengths = sorted(map(len, chosen), key=lambda d: (-sum(len(c) == d for c in chosen), d)) if len({len(c) for c in chosen}) > 1 else [len(c) for c in chosen[:1]]
     usable = classes.where(F.size("embedding") == (lengths[0] if lengths else 0))
-    s, m, far = layout(usable.count(), cosine)
     if lengths:
-        mean, projection = learned(_normal([c for c in chosen if len(c) == lengths[0]]), s * m)
-        codes = saved(coded(usable, mean, projection, s, m), "codes")
-        links = saved(reranked(saved(candidates(codes, s, far), "candidates"), usable, cosine), "links")
+        links = linked(usable, [c for c in chosen if len(c) == lengths[0]], cosine)
     else:
         links = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("m").alias("ma"), F.col("m").alias("mb")).limit(0)
     roots = components(links.select("a", "b"))

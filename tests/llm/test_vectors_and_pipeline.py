@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from siftwell.llm import itq_neighbours, registry
@@ -27,6 +28,22 @@ def test_neighbours(spark):
     assert itq_neighbours.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shared", [0.0, 0.5, 0.8, 0.9, 0.99])
+def test_vectors_with_a_common_direction(spark, shared):
+    r = np.random.default_rng(11)
+    one = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, d = (1000, 64) if shared > 0.95 else (3000, 64)
+    x = one(math.sqrt(shared) * one(r.normal(size=d)) + math.sqrt(1 - shared) * one(r.normal(size=(n, d))))
+    way = r.normal(size=(n, d))
+    way = one(way - (way * x).sum(1, keepdims=True) * x)
+    cos = r.uniform(0.951, 0.96, size=(n, 1))
+    v = np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * way]).astype(np.float32)
+    got = itq_neighbours.near_duplicates(spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(v)], "vec_id long, embedding array<float>")).collect()
+    u = one(v.astype(np.float64))
+    want, mine = int((u @ u.T >= 0.95).sum()) - 2 * n, sum(r.n_links for r in got)
+    assert want >= 2 * n and 0.96 * want <= mine <= want
+
+
 def test_layout_meets_the_recall_it_promises():
     for n in (10, 10**4, 10**9):
         s, m, far = itq_neighbours.layout(n)
