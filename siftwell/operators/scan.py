@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import required_literal, to_java
-from . import filters
+from . import filters, scripts
 from .rules import Rule, default_rules
 
 MATCH = ("source", "pattern", "value", "params", "severity", "ord", "line_no")
@@ -104,6 +104,13 @@ def scan_distinct(artifacts: DataFrame, rules: list[Rule] | None = None, body: s
     return found.join(keyed.select("source", "ord", "__sha"), "__sha").select(*MATCH)
 
 
+def headers(artifacts: DataFrame, body: str = "body") -> DataFrame:
+    """http_header in every line, as MATCH rows; low. All forms that are read have the word header in them."""
+    each = lines(artifacts, body).where(F.lower("line").contains("header"))
+    found = scripts.explode_with(each.select(F.struct("source", "ord", "line_no").alias("at"), "line"), "at", "line", scripts.http_headers, "value string")
+    return found.select("at.source", F.lit("http_header").alias("pattern"), "value", F.lit("").alias("params"), F.lit("low").alias("severity"), "at.ord", "at.line_no")
+
+
 def entropy_matches(artifacts: DataFrame, least: float = 4.5, body: str = "body") -> DataFrame:
     """Runs of 20 and more base64 characters whose Shannon entropy reaches `least` bits; high."""
     hits = F.regexp_extract_all(F.col("line"), F.lit("[A-Za-z0-9+/=]{20,}"), F.lit(0))

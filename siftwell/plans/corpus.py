@@ -10,6 +10,8 @@ from ._book import Book, literal
 B = Book()
 QUERIES, ORACLE_SQL = B.queries, B.sql
 
+#: The scans use all default rules and http_header; SQL has those that it can express. The tests hold the rest against brute force.
+RULES = rules.default_rules()
 PLAIN = [r for r in rules.default_rules() if r.name not in ("path", "ipv6")]
 KEYWORDS = ["api[_-]?key", "account[_-]?(name|key)?", "zendesk[_-]?password", "github[_-]?token", r"[\w_-]*?secret[\w_-]*?", r"[\w_-]*?token[\w_-]*?", r"[\w_-]*?password[\w_-]*?"]
 NEVER = "(" + ", ".join(literal(w) for w in filters.NEVER_SECRET) + ")"
@@ -49,8 +51,12 @@ def scan_sql(table: str, key: str, text: str, rule_list) -> str:
 DOC_SQL = scan_sql("documents", "doc_id", "text", PLAIN)
 
 
+def _scanned(artifacts, once=True):
+    return (scan.scan_distinct if once else scan.scan)(artifacts, RULES).unionByName(scan.headers(artifacts))
+
+
 def _found(spark, sf_dir):
-    return scan.scan_distinct(_documents(spark, sf_dir), PLAIN)
+    return _scanned(_documents(spark, sf_dir))
 
 
 def _kept(spark, sf_dir):
@@ -65,7 +71,7 @@ def scan_default_rules(spark, sf_dir):
 @B.add("scan_prefiltered", f"WITH {DOC_SQL} SELECT source, CAST(line_no AS BIGINT) AS line_no, pattern, value FROM m")
 def scan_prefiltered(spark, sf_dir):
     """The same scan without the dedup of bodies."""
-    return scan.scan(_documents(spark, sf_dir), PLAIN).select("source", F.col("line_no").cast("long"), "pattern", "value")
+    return _scanned(_documents(spark, sf_dir), once=False).select("source", F.col("line_no").cast("long"), "pattern", "value")
 
 
 @B.add("scan_strict_rules", f"WITH {scan_sql('documents', 'doc_id', 'text', rules.strict_rules())} SELECT source, pattern, value FROM m")
@@ -81,13 +87,13 @@ def scan_keyword_rules(spark, sf_dir):
 @B.add("scan_pages", f"WITH {scan_sql('pages', 'page_id', 'html', PLAIN)} SELECT source, pattern, value FROM m")
 def scan_pages(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return scan.scan_distinct(from_table(p, F.col("page_id").cast("string"), "html", "page_id"), PLAIN).select("source", "pattern", "value")
+    return _scanned(from_table(p, F.col("page_id").cast("string"), "html", "page_id")).select("source", "pattern", "value")
 
 
 @B.add("scan_conversations", f"WITH {scan_sql('(SELECT conv_id * 1000 + turn AS k, text FROM conversations)', 'k', 'text', PLAIN)} SELECT source, pattern, value FROM m")
 def scan_conversations(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
-    return scan.scan_distinct(from_table(c, F.col("k").cast("string"), "text", "k"), PLAIN).select("source", "pattern", "value")
+    return _scanned(from_table(c, F.col("k").cast("string"), "text", "k")).select("source", "pattern", "value")
 
 
 @B.add("findings_unique", f"WITH {DOC_SQL} SELECT source, pattern, value, params, severity FROM u")

@@ -23,7 +23,7 @@ INLINE_SCAN = scan_sql(LINES.sql, "ord", "line", [r for r in rules.default_rules
 @B.add("provider_tokens", f"WITH {INLINE_SCAN} SELECT ord, pattern, value, severity FROM m")
 def provider_tokens(spark, sf_dir):
     a = LINES.df(spark).select(F.col("ord").cast("string").alias("source"), F.col("ord").cast("long").alias("ord"), F.col("line").alias("body"))
-    return scan.scan(a, [r for r in rules.default_rules() if r.name not in ("path", "ipv6")]).select("ord", "pattern", "value", "severity")
+    return scan.scan(a, rules.default_rules()).select("ord", "pattern", "value", "severity")
 
 
 @B.add("credential_filter", f"SELECT line, {_is_secret('line')} AS kept FROM {LINES.sql}")

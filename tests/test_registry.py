@@ -34,6 +34,19 @@ def test_query_agrees_with_sql(spark, name):
     assert sorted(names) == columns and mine == theirs
 
 
+def test_table_scans_find_paths_long_addresses_and_headers(spark, tmp_path):
+    lines = ["log in /var/log/app.log", "peer 2001:db8::17 up", "h = {headers: {'X-Tenant': 'blue'}}", "xhr.setRequestHeader('X-Trace', 'on')"]
+    want = {("path", "/var/log/app.log"), ("ipv6", "2001:db8::17"), ("http_header", "X-Tenant: blue"), ("http_header", "X-Trace: on")}
+    text = "\n".join(lines)
+    spark.createDataFrame([(1, text, "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, 0, text)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("scan_default_rules", "scan_prefiltered", "scan_pages", "scan_conversations", "findings_unique", "findings_value_max_severity", "findings_ranked"):
+        got = {(r.pattern, r.value.strip()) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == want, name
+    assert {r.severity: r.n for r in registry.QUERIES["severity_summary"](spark, str(tmp_path)).collect()} == {"high": 0, "medium": 0, "low": 2, "info": 2}
+
+
 def test_it_stands_without_the_llm_folders(tmp_path):
     for d in ("siftwell", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", f"{ROOT}/{d}", tmp_path], check=True)
