@@ -11,9 +11,9 @@ widens the angles of vectors with a common direction. Where that takes about as
 
 Equal vectors form one class and go on as one; links between different vectors are counted all, as n_links asks for.
 
-Nulls: a vector that is null or zero or has a null or non-finite component links with nothing; so do vectors of another
-length than the sample's commonest. A null vec_id counts in the links of others, but has no component.
-Empty table: empty result. Repeated rows are vectors of their own. The sample (SAMPLE vectors) trains the rotation only;
+Nulls: a vector that is null or zero or has a null or non-finite component links with nothing. Vectors of different lengths
+do not link; each length has a rotation and tables of its own. A null vec_id counts in the links of others, but has no component.
+Empty table: empty result. Repeated rows are vectors of their own. The sample (SAMPLE vectors of a length) trains the rotation only;
 every vector is indexed.
 """
 
@@ -216,13 +216,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     keyed = plain.withColumns({"h": F.when(F.col("sound"), F.xxhash64("embedding")), "g": F.when(F.col("sound"), F.xxhash64("embedding", F.lit(1)))})
     classes = keyed.where("sound").groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("embedding").alias("embedding"))
     classes = saved(classes.where("rep is not null"), "classes")
-    chosen = [r[0] for r in classes.select("embedding", F.xxhash64("rep", F.lit(6)).alias("o"), "rep").orderBy("o", "rep").limit(sample).collect()]
-    lengths = sorted(map(len, chosen), key=lambda d: (-sum(len(c) == d for c in chosen), d)) if len({len(c) for c in chosen}) > 1 else [len(c) for c in chosen[:1]]
-    usable = classes.where(F.size("embedding") == (lengths[0] if lengths else 0))
-    if lengths:
-        links = linked(usable, [c for c in chosen if len(c) == lengths[0]], cosine)
-    else:
-        links = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("m").alias("ma"), F.col("m").alias("mb")).limit(0)
+    size = F.size("embedding")
+    lengths = sorted(r[0] for r in classes.groupBy(size.alias("d")).count().where("count > 1").collect())
+    links = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("m").alias("ma"), F.col("m").alias("mb")).limit(0)
+    for d in lengths:
+        usable = classes.where(size == d)
+        chosen = [r[0] for r in usable.select("embedding", F.xxhash64("rep", F.lit(6)).alias("o"), "rep").orderBy("o", "rep").limit(sample).collect()]
+        found = linked(usable, chosen, cosine)
+        links = found if d == lengths[0] else links.union(found)
     roots = components(links.select("a", "b"))
     others = links.select(F.col("a").alias("rep"), F.col("mb").alias("o")).union(links.select("b", "ma")).groupBy("rep").agg(F.sum("o").alias("others"))
     known = classes.select("h", "g", "rep", "m").join(others, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -44,6 +44,19 @@ def test_vectors_with_a_common_direction(spark, shared):
     assert want >= 2 * n and 0.96 * want <= mine <= want
 
 
+def test_every_length_has_its_links(spark):
+    r = np.random.default_rng(12)
+    rows = []
+    for d, n in ((8, 40), (24, 60), (32, 20)):
+        x = r.normal(size=(n, d))
+        rows += [(1000 * d + i, v.tolist()) for i, v in enumerate(np.concatenate([x, x + r.normal(scale=0.01, size=x.shape)]).astype(np.float32))]
+    got = {r.vec_id: r for r in itq_neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    for i, v in unit.items():
+        assert got[i].n_links == sum(len(w) == len(v) and w @ v >= 0.95 for j, w in unit.items() if j != i) >= 1
+    assert all(got[1000 * d + n + i].component_id < 1000 * d + n for d, n in ((8, 40), (24, 60), (32, 20)) for i in range(n))
+
+
 def test_layout_meets_the_recall_it_promises():
     for n in (10, 10**4, 10**9):
         s, m, far = itq_neighbours.layout(n)
