@@ -1,6 +1,6 @@
 """What to look at next: ordering, template caps, permuted paths, replay plans, and reach over captured pages."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import urls
@@ -9,8 +9,20 @@ from .reduce import first_per_class
 
 def ordered(targets: DataFrame) -> DataFrame:
     """Targets (url, depth, seed, permuted, passive_source, seq) with their score, best first."""
-    scored = targets.withColumn("score", urls.target_score(F.col("url")))
-    return scored.orderBy(F.col("seed").desc(), "depth", F.col("passive_source") != "", "permuted", F.col("score").desc(), "seq")
+    return _scored(targets).orderBy(*_order())
+
+
+def placed(targets: DataFrame) -> DataFrame:
+    """All targets as ordered() has them, with their place from 1."""
+    return _scored(targets).withColumn("place", F.row_number().over(Window.orderBy(*_order())).cast("long"))
+
+
+def _scored(targets: DataFrame) -> DataFrame:
+    return targets.withColumn("score", urls.target_score(F.col("url")))
+
+
+def _order() -> list:
+    return [F.col("seed").desc(), F.col("depth"), F.col("passive_source") != "", F.col("permuted"), F.col("score").desc(), F.col("seq")]
 
 
 def template_sample(targets: DataFrame, order: list, k: int = 3, url: str = "url") -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries over small captured tables that both sides build from the same rows."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence, extract, filters, frontier, reduce, rules, scan, scripts, urls, verdicts
@@ -84,6 +85,12 @@ def gathered_last(spark, sf_dir):
     return MATCHES.df(spark).orderBy(F.col("pattern") == "gathered_url", "ord").select("pattern", "value").limit(10)
 
 
+@B.add("gathered_last_whole", f"SELECT pattern, value, row_number() OVER (ORDER BY pattern = 'gathered_url', ord) AS place FROM {MATCHES.sql}")
+def gathered_last_whole(spark, sf_dir):
+    place = F.row_number().over(Window.orderBy(F.col("pattern") == "gathered_url", "ord")).cast("long")
+    return MATCHES.df(spark).select("pattern", "value", place.alias("place"))
+
+
 REFS = Inline("url string, ref string", [(u, r) for u in ("https://site.test/dir/page", "https://site.test", "http://h:8080/a/b/?q=1#f") for r in ("products/42", "/search?q=a", "//cdn.test/x.js", "https://o.test/y#z", "x?y=1")])
 REL = f"""CASE WHEN regexp_matches(ref, '^[a-z]+:') THEN regexp_replace(ref, '#.*$', '') WHEN starts_with(ref, '//') THEN {part('url', 1)} || ':' || ref WHEN starts_with(ref, '/') THEN {part('url', 1)} || '://' || {part('url', 2)} || ref
   ELSE {part('url', 1)} || '://' || {part('url', 2)} || regexp_replace(CASE WHEN {part('url', 3)} = '' THEN '/' ELSE {part('url', 3)} END, '[^/]*$', '') || ref END"""

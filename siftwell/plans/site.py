@@ -88,9 +88,17 @@ def target_score(spark, sf_dir):
 
 @B.add("frontier_order", f"SELECT page_id, score FROM (SELECT page_id, page_id % 3 AS depth, {SCORE} AS score FROM pages) ORDER BY page_id = 0 DESC, depth, score DESC, page_id LIMIT 50")
 def frontier_order(spark, sf_dir):
+    return frontier.ordered(_targets(spark, sf_dir)).select(F.col("seq").alias("page_id"), "score").limit(50)
+
+
+def _targets(spark, sf_dir):
     p = _pages(spark, sf_dir)
-    t = p.select("url", (F.col("page_id") % 3).alias("depth"), (F.col("page_id") == 0).alias("seed"), F.lit(False).alias("permuted"), F.lit("").alias("passive_source"), F.col("page_id").alias("seq"))
-    return frontier.ordered(t).select(F.col("seq").alias("page_id"), "score").limit(50)
+    return p.select("url", (F.col("page_id") % 3).alias("depth"), (F.col("page_id") == 0).alias("seed"), F.lit(False).alias("permuted"), F.lit("").alias("passive_source"), F.col("page_id").alias("seq"))
+
+
+@B.add("frontier_order_whole", f"SELECT page_id, score, row_number() OVER (ORDER BY page_id = 0 DESC, depth, score DESC, page_id) AS place FROM (SELECT page_id, page_id % 3 AS depth, {SCORE} AS score FROM pages)")
+def frontier_order_whole(spark, sf_dir):
+    return frontier.placed(_targets(spark, sf_dir)).select(F.col("seq").alias("page_id"), "score", "place")
 
 
 @B.add("levels_with_ancestors", f"WITH s AS (SELECT page_id, {SEGMENTS} AS p FROM pages) SELECT page_id, unnest({LEVELS}) AS level FROM s")

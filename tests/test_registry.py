@@ -34,6 +34,17 @@ def test_query_agrees_with_sql(spark, name):
     assert sorted(names) == columns and mine == theirs
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_orders_are_whole(spark, tmp_path):
+    spark.createDataFrame([(i, f"https://h.test/a{i}", "") for i in range(70)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.QUERIES["frontier_order_whole"](spark, str(tmp_path)).collect()
+    assert sorted(r.place for r in got) == list(range(1, 71)) and {r.page_id for r in got} == set(range(70))
+    rows = registry.QUERIES["gathered_last_whole"](spark, DATA).collect()
+    assert len(rows) == 11 and [r.place for r in rows if r.pattern == "gathered_url"] == [11]
+    for name in ("frontier_order_whole", "gathered_last_whole"):
+        test_query_agrees_with_sql(spark, name)
+
+
 def test_table_scans_find_paths_long_addresses_and_headers(spark, tmp_path):
     lines = ["log in /var/log/app.log", "peer 2001:db8::17 up", "h = {headers: {'X-Tenant': 'blue'}}", "xhr.setRequestHeader('X-Trace', 'on')"]
     want = {("path", "/var/log/app.log"), ("ipv6", "2001:db8::17"), ("http_header", "X-Tenant: blue"), ("http_header", "X-Trace: on")}
