@@ -8,7 +8,8 @@ themselves are compared, exactly.
 
 Equal sets form one class and go on as one. Within the documents of a prefix shingle, all are first compared with the
 one that has it earliest; afterwards only pairs of different components are, so that a large group of near copies
-does not become all its pairs. No link between different texts is lost.
+does not become all its pairs. So components are whole, but links inside a component that is already found are not all
+produced, and their number for a document is not given.
 
 Nulls: a null or empty text has no shingles and links with nothing; a text with fewer words than a shingle is one
 shingle. A null doc_id counts as no id: the component takes the smallest other. Empty table: empty result. Repeated rows link
