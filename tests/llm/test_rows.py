@@ -282,10 +282,73 @@ def test_forward_backward_against_all_label_sequences():
     import itertools
 
     r = np.random.default_rng(0)
-    w = crf_language.Words(["aa bb cc dd"])
+    w = crf_language.Words([b"aa bb cc dd"])
     m = crf_language.Model(["x", "y", "z"], r.normal(0, 0.3, (1 << crf_language.TABLE_BITS, 3)).astype(np.float32), r.normal(0, 1, (3, 3)))
     e = m.emissions(w)[w.word]
     weight = {s: np.exp(sum(e[i, y] for i, y in enumerate(s)) + sum(m.moves[a, b] for a, b in itertools.pairwise(s))) for s in itertools.product(range(3), repeat=4)}
     total = sum(weight.values())
     want = [[sum(v for s, v in weight.items() if s[i] == y) / total for y in range(3)] for i in range(4)]
     assert np.allclose(m.posteriors(w)[0], want, atol=1e-6)
+
+
+def plain_mass(m, text):
+    """Forward-backward word by word over whole lines, without blocks or pieces."""
+    out, move = np.zeros(len(m.langs)), np.exp(m.moves)
+    for line in text.lower().encode().split(b"\n"):
+        w = crf_language.Words([line])
+        if not len(w.word):
+            continue
+        e = m.likelihoods(w)
+        ahead, back = [e[0] / e[0].sum()], [np.ones(e.shape[1])]
+        for x in e[1:]:
+            now = (ahead[-1] @ move) * x
+            ahead.append(now / now.sum())
+        for x in e[:0:-1]:
+            now = move @ (x * back[-1])
+            back.append(now / now.sum())
+        p = np.array(ahead) * np.array(back[::-1])
+        out += (p / p.sum(1, keepdims=True) * w.size[:, None]).sum(0)
+    return out
+
+
+def random_model(seed):
+    r = np.random.default_rng(seed)
+    return crf_language.Model(["x", "y", "z"], r.normal(0, 0.3, (1 << crf_language.TABLE_BITS, 3)).astype(np.float32), r.normal(0, 3, (3, 3)))
+
+
+def test_a_line_of_many_blocks_loses_no_transition():
+    r, m = np.random.default_rng(1), random_model(2)
+    word = lambda: "".join(r.choice(list("abcdefg "), r.integers(1, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (1, 127, 128, 129, 1200, 5000)] + ["\n".join(" ".join(word() for _ in range(n)) for n in (300, 0, 3, 700)), "", "..", "one\ntwo"]
+    got = m.mass(crf_language.Words([t.lower().encode() for t in texts]))
+    assert np.allclose(got, [plain_mass(m, t) for t in texts], rtol=1e-9)
+
+
+def test_a_text_of_many_pieces_loses_no_transition(monkeypatch):
+    monkeypatch.setattr(crf_language, "PIECE", 300)
+    r, m = np.random.default_rng(3), random_model(4)
+    word = lambda: "".join(r.choice(list("abcdefgé"), r.integers(1, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    texts = [line(2000), "\n".join(line(n) for n in (700, 2, 1, 0, 400, 90, 60)), "a" * 1000 + " " + line(100) + "\n" + "b" * 700, line(80) + " " * 900 + line(80), line(80) + " \n " * 300 + line(80), line(60) + "\n" * 2, " .\n" * 400]
+    for t in texts:
+        raw = t.lower().encode()
+        assert b"".join(p for p, _ in crf_language.cut(raw)) == raw
+        assert np.allclose(m.long_mass(raw), plain_mass(m, t), rtol=1e-9)
+
+
+def test_a_text_of_four_million_bytes():
+    r, m = np.random.default_rng(5), random_model(6)
+    words = ["".join(r.choice(list("abcdefg"), r.integers(1, 12))) for _ in range(3000)]
+    text = " ".join(words[i] for i in r.integers(0, 3000, 600_000))
+    assert len(text) > 3_500_000
+    langs, scores = crf_language._labels(m, ["a b", text, "c"])
+    want = plain_mass(m, text)
+    assert langs[1] == m.langs[int(want.argmax())] and abs(scores[1] - want.max() / want.sum()) < 1e-9
+
+
+def test_language_beside_columns_of_the_same_names(spark, docs):
+    rows = docs.withColumns({"lang_pred": docs.text, "letter": docs.text, "_0": docs.doc_id})
+    model = crf_language.fitted(rows, "doc_id", "text", "lang", crf_language.fold("doc_id") != 1, sample=20, passage=50)
+    got = crf_language.predicted(rows, model)
+    assert got.columns == [c for c in rows.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"]
+    assert {r.lang_pred for r in got.collect()} <= {"en", "de", "und"}
