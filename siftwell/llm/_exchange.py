@@ -5,9 +5,14 @@ of its distinct keys: one row for each key range that it touches, the sorted key
 range adds up what all batches hold and answers each with counts in the order asked. The answers meet their batch
 again by its number; the bucketed documents need no further shuffle. A key that a third of all documents hold costs
 one entry a batch, so no key, however frequent, makes a large task.
+
+A range is of about RANGE_BYTES of text, so there are more of them for more text, but a batch never sends more than
+2^DIGIT rows a kind: beyond that many ranges the keys travel in steps of DIGIT bits. At each step the batches of a group
+of 2^DIGIT meet, one task for each range so far; it adds up their equal keys, asks for them as one batch of the next
+step, and deals the answers out again. So a step costs rows in proportion to the text, and each task holds about as
+many keys as one batch.
 """
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,31 +20,54 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import fresh, release
+from ._common import fresh, fresh_table, release, saved
 
-#: Bytes of text of a batch, the least number of batches, and the most buckets of a table.
-BATCH_BYTES, LEAST, MOST_BUCKETS = 8_000_000, 12, 50_000
+#: Bytes of text of a batch and of a range, the least number of batches and of bits of a range, and the most buckets of a table.
+BATCH_BYTES, RANGE_BYTES, LEAST, LEAST_BITS, MOST_BUCKETS = 8_000_000, 16_000_000, 12, 4, 50_000
+#: Bits of a range that one step adds.
+DIGIT = 10
 
-ASK = "batch int, kind int, range int, keys binary, counts binary"
-ANSWER = "batch int, kind int, range int, counts binary"
+ASK = "batch bigint, kind int, range bigint, keys binary, counts binary"
+ANSWER = "batch bigint, kind int, range bigint, counts binary"
+ASKED = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("range", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWERED = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("range", pa.int64()), ("counts", pa.binary())])
+#: An answer of kind k is about the keys asked for as kind k modulo KINDS.
+KINDS = 10
 
 
 def batches_for(n_bytes: int) -> int:
     return max(LEAST, -(-n_bytes // BATCH_BYTES))
 
 
+def range_bits(n_bytes: int) -> int:
+    return max(LEAST_BITS, (-(-n_bytes // RANGE_BYTES) - 1).bit_length())
+
+
+def any_row(*columns: Column) -> Column:
+    """A number that deals rows out evenly even where many share an id."""
+    return F.xxhash64(*columns)
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def dealt(rows: DataFrame, batch: Column, n: int) -> DataFrame:
     """rows with a column batch, as a table in the shared folder bucketed by it."""
     spark = rows.sparkSession
     n = min(n, MOST_BUCKETS)
-    name = f"dealt_{uuid.uuid4().hex}"
+    name = fresh_table(spark, "dealt")
     placed = rows.withColumn("batch", batch.cast("int")).repartition(n, "batch")
     placed.write.bucketBy(n, "batch").option("path", fresh(spark, name)).option("compression", "zstd").saveAsTable(name)
     release(spark)
     return spark.table(name)
 
 
+U = np.uint64
+
+
 def pack(sorted_keys: np.ndarray) -> bytes:
     """Ascending uint64 as deltas, byte plane by byte plane without the empty ones."""
     return _planes(np.diff(sorted_keys, prepend=np.uint64(0)))
@@ -87,11 +115,13 @@ def located(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[~new] if not len(keys) else keys[np.concatenate([[0], np.flatnonzero(new)])], place
 
 
-def asked(batch: int, kind: int, keys: np.ndarray, counts: np.ndarray, ranges: int, bits: int = 64) -> list[tuple]:
-    """Rows of ASK for sorted distinct keys: range r holds the keys of the r-th of equal parts of the key space."""
-    edges = np.searchsorted(keys, np.array([((r << bits) + ranges - 1) // ranges for r in range(1, ranges)], dtype=np.uint64))
-    edges = [0, *edges.tolist(), len(keys)]
-    return [(batch, kind, r, pack(keys[a:b]), pack_numbers(counts[a:b])) for r, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+def asked(batch: int, kind: int, keys: np.ndarray, counts: np.ndarray, shift: int) -> list[tuple]:
+    """Rows of ASK for sorted distinct keys, one for each range: the keys that agree but for their last `shift` bits."""
+    if not len(keys):
+        return []
+    r = keys >> U(shift) if shift < 64 else np.zeros(len(keys), np.uint64)
+    edges = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), len(keys)]
+    return [(batch, kind, int(r[a]), pack(keys[a:b]), pack_numbers(counts[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def rows(found: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -99,17 +129,80 @@ def rows(found: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def ask(placed: DataFrame, keys_of: Callable[[pa.Table], list[tuple[int, np.ndarray, np.ndarray]]], ranges: int, bits: int = 64) -> DataFrame:
+def first_shift(k: int, bits: int = 64) -> int:
+    """How far asked() shifts the keys of the batches themselves, for 2^k ranges."""
+    return bits - min(k, DIGIT)
+
+
+def ask(placed: DataFrame, keys_of: Callable[[pa.Table], list[tuple[int, np.ndarray, np.ndarray]]], k: int, bits: int = 64) -> DataFrame:
     """keys_of gives (kind, sorted distinct keys, counts) of a batch."""
-    schema = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    shift = first_shift(k, bits)
 
     def run(group: pa.Table) -> pa.Table:
         batch = group.column("batch")[0].as_py()
-        return rows([x for kind, keys, counts in keys_of(group) for x in asked(batch, kind, keys, counts, ranges, bits)], schema)
+        return rows([x for kind, keys, counts in keys_of(group) for x in asked(batch, kind, keys, counts, shift)], ASKED)
 
     return placed.groupBy("batch").applyInArrow(run, ASK)
 
 
+def exchanged(asks: DataFrame, answer: Callable[[pa.Table], pa.Table], k: int, bits: int = 64, lanes: int = 1, subset: bool = False) -> DataFrame:
+    """The answers to the batches' asks; `answer` works on all rows of a range.
+
+    Batches are added up only with those that agree modulo `lanes`. An answer has a number for each key asked for or,
+    with subset, is itself the keys that count. Rows of negative batches are no answers and pass through.
+    """
+    return _step(asks, answer, k, bits, lanes, subset, min(k, DIGIT)).withColumn("batch", F.col("batch").cast("int"))
+
+
+def _step(asks: DataFrame, answer, k: int, bits: int, lanes: int, subset: bool, done: int) -> DataFrame:
+    if done == k:
+        return asks.repartition(min(1 << k, MOST_BUCKETS), "range").groupBy("range").applyInArrow(answer, ANSWER)
+    group = F.floor(F.col("batch") / (lanes << DIGIT)).cast("long")
+    up = (F.call_function("shiftleft", group, F.lit(done)) + F.col("range")) * lanes + F.pmod("batch", F.lit(lanes))
+    asks = saved(asks.withColumn("up", up), "asks")
+    now = min(k, done + DIGIT)
+
+    def merge(mine: pa.Table) -> pa.Table:
+        out = []
+        for kind, found in sorted(_by_kind(mine).items()):
+            keys, _, sums = totals([(unpack(x["keys"]), numbers(x["counts"])) for x in found])
+            out += asked(found[0]["up"], kind, keys, sums, bits - now)
+        return rows(out, ASKED)
+
+    def deal(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for kind, found in _by_kind(mine).items():
+            own = [unpack(x["keys"]) for x in found]
+            places = totals([(x, np.zeros(len(x), np.uint64)) for x in own])[1]
+            for other in {x for x in answers.column("kind").to_pylist() if x % KINDS == kind}:
+                if subset:
+                    known = answered_keys(answers, other)
+                    out += [(x["batch"], other, x["range"], pack(o[np.isin(o, known)])) for x, o in zip(found, own, strict=True)]
+                else:
+                    counts = joined(answers, other)
+                    out += [(x["batch"], other, x["range"], pack_numbers(counts[p])) for x, p in zip(found, places, strict=True)]
+        return rows(out, ANSWERED)
+
+    merged = asks.groupBy("up").applyInArrow(merge, ASK)
+    answers = _step(merged, answer, k, bits, lanes, subset, now)
+    answers = saved(answers, "answers")
+    dealt_out = asks.groupBy("up").cogroup(answers.where("batch >= 0").groupBy("batch")).applyInArrow(deal, ANSWER)
+    return dealt_out.union(answers.where("batch < 0"))
+
+
+def _by_kind(rows_: pa.Table) -> dict[int, list[dict]]:
+    out: dict[int, list[dict]] = {}
+    for x in rows_.to_pylist():
+        out.setdefault(x["kind"], []).append(x)
+    return out
+
+
+def answered_keys(answers: pa.Table, kind: int) -> np.ndarray:
+    """All keys that answers of a kind hold, ascending."""
+    mine = answers.filter(pa.compute.equal(answers.column("kind"), kind)).sort_by("range")
+    return np.concatenate([np.zeros(0, np.uint64), *(unpack(x) for x in mine.column("counts").to_pylist())])
+
+
 def totals(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Of several (keys, counts): the distinct keys, where each one's keys are among them, and the sums."""
     all_keys = distinct(np.concatenate([k for k, _ in found]))[0]

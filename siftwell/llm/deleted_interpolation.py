@@ -5,7 +5,12 @@ Counts come from the training documents; the weights l(b) are learned by expecta
 training documents, against counts from which that whole fold is deleted. The last stage counts all training documents.
 
 Nulls: a null text is empty, and so has one token, the end; doc_id null counts as the text "" for its fold. Empty table: empty
-result. Without training documents the model is uniform. Repeated rows count each. Words are known by 64-bit hashes.
+result. Without training documents the model is uniform. Repeated rows count each. Ties: there is nothing to choose, equal
+texts get equal scores. Very long texts are scored whole; memory is that of one batch, which one text may fill. Extra
+columns, whatever their names, are left out. doc_id may be of any type. Words are known by 64-bit hashes.
+
+For expectation-maximisation the estimates of the deleted fold are counted in classes of a quarter of an octave (GRID); the
+scores themselves are not rounded.
 """
 
 import numpy as np
@@ -45,9 +50,8 @@ def _keys(group: pa.Table):
 def _answer(group: pa.Table) -> pa.Table:
     """Counts of the training documents and, for the batches of the deleted fold, those without it.
 
-    A row of batch -1 and kind UNI has the tokens and distinct tokens of both.
+    A row of batch -1 has the tokens and distinct tokens of both, as numbers of eight bytes.
     """
-    schema = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("range", pa.int32()), ("counts", pa.binary())])
     out = []
     for kind in (UNI, BI):
         mine = group.filter(pa.compute.equal(group.column("kind"), kind)).to_pylist()
@@ -65,10 +69,10 @@ def _answer(group: pa.Table) -> pa.Table:
         for x, f, p in zip(mine, fold, places, strict=True):
             out.append((x["batch"], kind, x["range"], X.pack_numbers(all_[p])))
             if f == 1:
-                out.append((x["batch"], kind + 2, x["range"], X.pack_numbers(rest[p])))
+                out.append((x["batch"], kind + X.KINDS, x["range"], X.pack_numbers(rest[p])))
         if kind == UNI:
-            out.append((-1, UNI, mine[0]["range"], X.pack_numbers(np.array([all_.sum(), (all_ > 0).sum(), rest.sum(), (rest > 0).sum()], np.uint64))))
-    return X.rows(out, schema)
+            out.append((-1, UNI, mine[0]["range"], np.array([all_.sum(), (all_ > 0).sum(), rest.sum(), (rest > 0).sum()], ">u8").tobytes()))
+    return X.rows(out, X.ANSWERED)
 
 
 def _counted(group: pa.Table, answers: pa.Table, kind_step: int, starts: int):
@@ -126,19 +130,20 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS
     kind = F.when(fold == HELD, 0).when(fold == DELETED, 1).otherwise(2)
-    n = X.batches_for(X.total_bytes(docs, text))
-    part = F.pmod(F.xxhash64(F.col(doc_id), F.lit(3)), F.when(kind == 2, n).otherwise(-(-n // 8))).cast("int")
+    size = X.total_bytes(docs, text)
+    n, k = X.batches_for(size), X.range_bits(size)
+    part = F.pmod(X.any_row(F.col(doc_id), F.col(text)), F.when(kind == 2, n).otherwise(-(-n // 8))).cast("int")
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     placed = X.dealt(plain, (part * 3 + kind), n)
-    answers = saved(X.ask(placed, _keys, n).groupBy("range").applyInArrow(_answer, X.ANSWER), "counts")
+    answers = saved(X.exchanged(X.ask(placed, _keys, k), _answer, k, lanes=3), "counts")
 
-    sums = [sum(c) for c in zip(*(X.numbers(r[0]).tolist() for r in answers.where("batch = -1").select("counts").toLocalIterator()), strict=True)] or [0] * 4
-    total, vocabulary, total_rest, _ = sums
+    number = lambda i: F.coalesce(F.sum(F.conv(F.hex(F.substring("counts", 8 * i + 1, 8)), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("long")
+    total, vocabulary, total_rest = answers.where("batch = -1").agg(*(number(i) for i in range(3))).first()
     starts = {r[0]: r[1] for r in docs.groupBy(kind.alias("k")).count().collect()}
     starts_rest, starts_all = starts.get(2, 0), starts.get(1, 0) + starts.get(2, 0)
 
     def events(group: pa.Table, mine: pa.Table) -> pa.Table:
-        both, context, single, _ = _counted(group, mine, 2, starts_rest)
+        both, context, single, _ = _counted(group, mine, X.KINDS, starts_rest)
         f2 = np.divide(both, context, out=np.zeros(len(both)), where=context > 0)
         cells = np.stack([_bucket(context), _grid(f2), _grid(single / max(total_rest, 1))], 1)
         cells, count = np.unique(cells, axis=0, return_counts=True)
@@ -164,9 +169,9 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             schema=out,
         )
 
-    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    out = pa.schema([("doc_id", X.arrow_type(placed, "doc_id")), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     answered = answers.where("batch >= 0")
-    return placed.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return placed.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(score, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

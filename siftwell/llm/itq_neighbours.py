@@ -13,6 +13,8 @@ Equal vectors form one class and go on as one; links between different vectors a
 
 Nulls: a vector that is null or zero or has a null or non-finite component links with nothing. Vectors of different lengths
 do not link; each length has a rotation and tables of its own. A null vec_id counts in the links of others, but has no component.
+Ties: a cosine of exactly the threshold links. Very long vectors take memory a row, nothing else. Extra columns, whatever their
+names, are left out. Classes are known by 64-bit hashes.
 Empty table: empty result. Repeated rows are vectors of their own. The sample (SAMPLE vectors of a length) trains the rotation only;
 every vector is indexed.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import saved, table
+from ._common import joined_on, saved, table
 from ._components import components
 
 COSINE, RECALL, SAMPLE, STEPS = 0.95, 0.98, 4096, 40
@@ -214,8 +216,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     plain = vectors.select(F.col(vec_id).alias("vec_id"), v.alias("embedding"), F.coalesce(sound, F.lit(False)).alias("sound"))
     keyed = plain.withColumns({"h": F.when(F.col("sound"), F.xxhash64("embedding")), "g": F.when(F.col("sound"), F.xxhash64("embedding", F.lit(1)))})
-    classes = keyed.where("sound").groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("embedding").alias("embedding"))
-    classes = saved(classes.where("rep is not null"), "classes")
+    # a class goes by a number of its own, as one whose vectors have no vec_id links others too
+    rep = F.xxhash64("h", "g").alias("rep")
+    classes = keyed.where("sound").groupBy("h", "g").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("embedding").alias("embedding"))
+    classes = saved(classes.select(rep, "h", "g", "least", "m", "embedding"), "classes")
     size = F.size("embedding")
     lengths = sorted(r[0] for r in classes.groupBy(size.alias("d")).count().where("count > 1").collect())
     links = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("m").alias("ma"), F.col("m").alias("mb")).limit(0)
@@ -224,11 +228,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         chosen = [r[0] for r in usable.select("embedding", F.xxhash64("rep", F.lit(6)).alias("o"), "rep").orderBy("o", "rep").limit(sample).collect()]
         found = linked(usable, chosen, cosine)
         links = found if d == lengths[0] else links.union(found)
-    roots = components(links.select("a", "b"))
+    roots = components(links.select("a", "b")).withColumnRenamed("node", "rep")
     others = links.select(F.col("a").alias("rep"), F.col("mb").alias("o")).union(links.select("b", "ma")).groupBy("rep").agg(F.sum("o").alias("others"))
-    known = classes.select("h", "g", "rep", "m").join(others, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("h", "g", F.coalesce("root", "rep").alias("component_id"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = keyed.select("vec_id", "h", "g").join(known, ["h", "g"], "left")
+    known = classes.select("rep", "h", "g", "least", "m").join(others, "rep", "left").join(roots, "rep", "left")
+    n_links = (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    known = saved(known.select("rep", "h", "g", "least", "m", n_links, F.coalesce("root", "rep").alias("part")), "known")
+    least = saved(known.groupBy("part").agg(F.min("least").alias("component_id"), F.count("*").alias("w")), "least")
+    known = saved(joined_on(known.drop("least"), least, ["part"], "w", F.col("rep")).select("h", "g", "m", "n_links", "component_id"), "known")
+    out = joined_on(keyed.select("vec_id", "h", "g"), known, ["h", "g"], "m", F.col("vec_id"), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 

@@ -13,17 +13,18 @@ produced, and their number for a document is not given.
 
 Nulls: a null or empty text has no shingles and links with nothing; a text with fewer words than a shingle is one
 shingle. A null doc_id counts as no id: the component takes the smallest other. Empty table: empty result. Repeated rows link
-with each other. Shingles and classes are known by 64-bit hashes.
+with each other. Ties in an order go by the shingle's hash, so a set has one prefix. Very long texts are taken whole; their
+sets travel only to the candidates that are left after all orders. Extra columns, whatever their names, are left out.
+Shingles and classes are known by 64-bit hashes.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _exchange as X
-from ._common import saved, table
+from ._common import joined_on, saved, table
 from ._components import components
 from ._tokens import U, as_bytes, mix, pair, words
 
@@ -93,24 +94,17 @@ def _described(placed: DataFrame, answers: DataFrame, size: int, percent: int, k
         return pa.table([pa.array(col, t) for col, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names=names)
 
     names = ["doc_id", "node", "n_shingles", "shingles", "first", "others"]
-    types = [placed_type(placed), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    types = [X.arrow_type(placed, "doc_id"), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return placed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, DOCS.format(kind))
 
 
-def placed_type(placed: DataFrame) -> pa.DataType:
-    return to_arrow_type(placed.schema["doc_id"].dataType)
-
-
 def _classes(group: pa.Table) -> pa.Table:
     """Frequency classes: 1 for once, 2 for twice or thrice, and so on by powers of two."""
     asked = group.to_pylist()
     found = [(X.unpack(x["keys"]), X.numbers(x["counts"])) for x in asked]
     _, places, sums = X.totals(found)
     cls = np.frexp(sums.astype(np.float64))[1].astype(np.uint64)
-    return X.rows([(x["batch"], 0, x["range"], X.pack_numbers(cls[p])) for x, p in zip(asked, places, strict=True)], _ANSWER)
-
-
-_ANSWER = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("range", pa.int32()), ("counts", pa.binary())])
+    return X.rows([(x["batch"], 0, x["range"], X.pack_numbers(cls[p])) for x, p in zip(asked, places, strict=True)], X.ANSWERED)
 
 
 def _postings(batches):
@@ -128,6 +122,20 @@ def _fits(percent: int):
     return (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * rest >= percent * (F.col("a.n") + F.col("b.n")))
 
 
+def _agreed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share a prefix shingle under each of the other orders too; only prefixes travel for that."""
+
+    def run(batches):
+        for batch in batches:
+            both = zip(*(batch.column(c).to_pylist() for c in ("oa", "ob")), strict=True)
+            split = lambda x: np.frombuffer(x, np.uint64).reshape(ORDERS - 1, -1)
+            keep = [all(_meet(x, y) for x, y in zip(split(oa), split(ob), strict=True)) for oa, ob in both]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("others").alias(f"o{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "oa", "ob").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the other orders' filters and whose sets are similar."""
 
@@ -136,9 +144,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
             a, b = [], []
             for i in range(batch.num_rows):
-                oa, ob = (np.frombuffer(cols[c][i], np.uint64).reshape(ORDERS - 1, -1) for c in ("oa", "ob"))
-                if not all(_meet(x, y) for x, y in zip(oa, ob, strict=True)):
-                    continue
                 sa, sb = X.unpack(cols["sa"][i]), X.unpack(cols["sb"][i])
                 both = _meet(sa, sb)
                 if 100 * both >= percent * (len(sa) + len(sb) - both):
@@ -146,8 +151,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                     b.append(cols["b"][i])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("others").alias(f"o{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    near = saved(_agreed(pairs, classes), "candidates")
+    return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _meet(x: np.ndarray, y: np.ndarray) -> int:
@@ -161,14 +167,14 @@ def links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): similar pairs of classes (node, n, shingles, first, others) that connect all that is connected."""
     post = saved(classes.select("node", "n", "first").mapInArrow(_postings, "token bigint, node bigint, n int, pos int"), "postings")
     hubs = post.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    hubs = hubs.select("token", "hub.*")
-    star = post.alias("b").join(hubs.alias("a"), "token").where(F.col("a.node") != F.col("b.node")).where(_fits(percent))
-    star = star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    hubs = saved(hubs.select("token", "m", F.struct("hub.*").alias("a")), "hubs")
+    star = joined_on(post.select("token", F.struct("pos", "node", "n").alias("b")), hubs, ["token"], "m", F.col("b.node"))
+    star = star.where("a.node <> b.node").where(_fits(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     found = saved(_verified(star, classes, percent), "links")
     parts = components(found)
     # pairs across components: those of a hub are done
     root = post.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    marked = root.join(hubs.select("token", F.col("node").alias("hub")), "token").where("node <> hub")
+    marked = joined_on(root, hubs.select("token", "m", F.col("a.node").alias("hub")), ["token"], "m", F.col("node")).drop("m").where("node <> hub")
     mixed = marked.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token", F.col("least").alias("main"))
     open_ = saved(marked.join(mixed, "token"), "open")
     minor = open_.where("root <> main")
@@ -179,21 +185,26 @@ def links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    n = X.batches_for(X.total_bytes(docs, text))
+    total = X.total_bytes(docs, text)
+    n, k = X.batches_for(total), X.range_bits(total)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    placed = X.dealt(plain, F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(n)), n)
+    placed = X.dealt(plain, F.pmod(X.any_row("doc_id", "text"), F.lit(n)), n)
 
     def keys(group: pa.Table):
         return [(0, *X.distinct(np.concatenate([np.zeros(0, np.uint64), *_sets(group, size)]) >> U(64 - CELL_BITS)))]
 
-    answers = X.ask(placed, keys, n, CELL_BITS).groupBy("range").applyInArrow(_classes, X.ANSWER)
+    answers = X.exchanged(X.ask(placed, keys, k, CELL_BITS), _classes, k, CELL_BITS)
     each = saved(_described(placed, answers, size, percent, docs.schema[doc_id].dataType.simpleString()), "sets")
     first = lambda c: F.first(c).alias(c)
-    classes = saved(each.where("shingles is not null").groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"), first("shingles"), first("first"), first("others")), "classes")
+    about = [F.count("*").alias("m"), F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("n")]
+    classes = saved(each.where("shingles is not null").groupBy("node").agg(*about, first("shingles"), first("first"), first("others")), "classes")
     roots = components(links(classes, percent))
-    keyed = each.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    least = keyed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
-    return keyed.join(least, "part", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    # one row a class, then one a component: the join back to the documents is one of equal sets
+    parts = saved(classes.select("node", "m", "least").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")), "parts")
+    least = saved(parts.groupBy("part").agg(F.min("least").alias("component_id"), F.count("*").alias("w")), "least")
+    known = saved(joined_on(parts.select("node", "m", "part"), least, ["part"], "w", F.col("node")).select("node", "m", "component_id"), "known")
+    out = joined_on(each.select("doc_id", "n_shingles", "node"), known, ["node"], "m", F.col("doc_id"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ empty; its row stays. Extra columns pass through untouched. Arrays hold the line
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import joined_on, saved, table
 
 DIVISOR, LEAST_LINES, BASE = 3, 2, 31
 
@@ -60,7 +60,8 @@ def repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     found = _occurrences(_keyed(docs, doc_id, text))
     texts = found.groupBy("h", "g", "chunk").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     known = texts.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.count("*").alias("texts")).where("n > 1 and texts = 1")
-    gone = found.drop("chunk").join(known.select("h", "g", "first"), ["h", "g"]).where("place <> first")
+    known = saved(known.select("h", "g", "n", "first"), "chunks")
+    gone = joined_on(found.drop("chunk"), known, ["h", "g"], "n", F.col("place")).where("place <> first")
     return gone.groupBy("place.__id", "place.__th").agg(F.collect_set("place.at").alias("__gone"))
 
 

@@ -87,9 +87,6 @@ def _words(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return words(as_bytes(group.column("text")), lower=False)
 
 
-_ANSWER = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("range", pa.int32()), ("counts", pa.binary())])
-
-
 def _sums(group: pa.Table):
     asked = group.to_pylist()
     found = [(X.unpack(x["keys"]), X.numbers(x["counts"])) for x in asked]
@@ -99,19 +96,20 @@ def _sums(group: pa.Table):
 
 def _flags(group: pa.Table) -> pa.Table:
     asked, _, places, sums = _sums(group)
-    return X.rows([(x["batch"], 0, x["range"], X.pack_numbers((sums[p] > 1).astype(np.uint64))) for x, p in zip(asked, places, strict=True)], _ANSWER)
+    return X.rows([(x["batch"], 0, x["range"], X.pack_numbers((sums[p] > 1).astype(np.uint64))) for x, p in zip(asked, places, strict=True)], X.ANSWERED)
 
 
 def _repeated(group: pa.Table) -> pa.Table:
     asked, found, places, sums = _sums(group)
-    return X.rows([(x["batch"], 1, x["range"], X.pack(k[sums[p] > 1])) for x, (k, _), p in zip(asked, found, places, strict=True)], _ANSWER)
+    return X.rows([(x["batch"], 1, x["range"], X.pack(k[sums[p] > 1])) for x, (k, _), p in zip(asked, found, places, strict=True)], X.ANSWERED)
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept has the words that stay, joined by one space."""
-    n = X.batches_for(X.total_bytes(docs, text))
+    size = X.total_bytes(docs, text)
+    n, k = X.batches_for(size), X.range_bits(size)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    placed = X.dealt(plain, F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(n)), n)
+    placed = X.dealt(plain, F.pmod(X.any_row("doc_id", "text"), F.lit(n)), n)
 
     def symbols(group: pa.Table):
         p = Parsed(*_words(group), window)
@@ -119,17 +117,17 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def windows(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
-            return X.rows([], ask)
+            return X.rows([], X.ASKED)
         h, counts = _words(group)
         p = Parsed(h, counts, window)
         repeated = X.joined(answers, 0).astype(bool)[X.located(p.names)[1]]
         keys, times = X.distinct(window_hashes(h, p.candidates(repeated), window))
-        return X.rows(X.asked(group.column("batch")[0].as_py(), 1, keys, times, n), ask)
+        return X.rows(X.asked(group.column("batch")[0].as_py(), 1, keys, times, X.first_shift(k)), X.ASKED)
 
     def remove(group: pa.Table, answers: pa.Table) -> pa.Table:
         texts = as_bytes(group.column("text"))
         h, counts = words(texts, lower=False)
-        known = np.concatenate([np.zeros(0, np.uint64), *(X.unpack(x) for x in answers.sort_by("range").column("counts").to_pylist())])
+        known = X.answered_keys(answers, 1)
         stops = np.cumsum(counts)
         at = np.flatnonzero(np.repeat(stops, counts) - np.arange(len(h)) >= window)
         if len(known):
@@ -148,11 +146,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             kept.append(b" ".join(parts if not r else [x for x, g in zip(parts, gone[a:b].tolist(), strict=True) if not g]))
         return pa.table([group.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    ask = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
     by_batch = lambda df: df.groupBy("batch")
-    flags = X.ask(placed, symbols, n).groupBy("range").applyInArrow(_flags, X.ANSWER)
+    flags = X.exchanged(X.ask(placed, symbols, k), _flags, k)
     wanted = by_batch(placed).cogroup(by_batch(flags)).applyInArrow(windows, X.ASK)
-    repeated = wanted.groupBy("range").applyInArrow(_repeated, X.ANSWER)
+    repeated = X.exchanged(wanted, _repeated, k, subset=True)
     kind = docs.schema[doc_id].dataType.simpleString()
     return by_batch(placed).cogroup(by_batch(repeated)).applyInArrow(remove, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
 

@@ -31,10 +31,46 @@ def test_keys_survive_packing():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000).astype(np.uint64))
     assert (_exchange.unpack(_exchange.pack(keys)) == keys).all()
     assert len(_exchange.unpack(_exchange.pack(keys[:0]))) == 0
-    parts = _exchange.asked(3, 0, keys, np.ones(len(keys), np.int64), 7)
+    parts = _exchange.asked(3, 0, keys, np.ones(len(keys), np.int64), 61)
+    assert [p[2] for p in parts] == sorted({int(x) >> 61 for x in keys})
     assert (np.concatenate([_exchange.unpack(p[3]) for p in parts]) == keys).all()
 
 
+def test_rows_of_a_batch_do_not_grow_with_the_text():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 200_000).astype(np.uint64) * np.uint64(2))
+    sent = [len(_exchange.asked(0, 0, keys, np.ones(len(keys), np.int64), _exchange.first_shift(_exchange.range_bits(n)))) for n in (10**12, 10**13, 10**14)]
+    assert sent == [1024] * 3
+
+
+def in_steps(monkeypatch):
+    """The exchange in four steps of one bit, as for far more text."""
+    monkeypatch.setattr(_exchange, "DIGIT", 1)
+
+
+def test_scores_by_an_exchange_in_steps(docs, monkeypatch):
+    want = sorted(map(repr, deleted_interpolation.scored(docs).collect()))
+    in_steps(monkeypatch)
+    assert sorted(map(repr, deleted_interpolation.scored(docs).collect())) == want
+
+
+def test_repeated_windows_by_an_exchange_in_steps(docs, pairs, monkeypatch):
+    in_steps(monkeypatch)
+    rows = recompression.without_repeats(docs).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in rows) == brute_windows(pairs, 35)
+
+
+def test_similar_sets_by_an_exchange_in_steps(docs, pairs, monkeypatch):
+    in_steps(monkeypatch)
+    rows = jaccard_join.joined(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute_components(pairs)
+
+
+def test_ids_that_are_no_numbers(spark, pairs):
+    named = spark.createDataFrame([(f"d{i}", t) for i, t, _, _ in pairs], "doc_id string, text string")
+    for f in (deleted_interpolation.scored, recompression.without_repeats, jaccard_join.joined):
+        assert sorted(r.doc_id for r in f(named).select("doc_id").collect()) == sorted(f"d{i}" for i, *_ in pairs)
+
+
 def test_scores(docs, pairs):
     rows = deleted_interpolation.scored(docs).collect()
     tokens = [(i, [*split(t, True), None]) for i, t, _, _ in pairs]
@@ -138,3 +174,64 @@ def test_similar_sets_of_an_empty_table(empty):
 def test_hash_of_kept_text(docs):
     r = recompression.without_repeats(docs.where("doc_id = 401")).first()
     assert hashlib.sha256(r.kept.encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def brute_scores(pairs):
+    """The model's probabilities by plain counting: bigrams, unigrams and a uniform share, weights by expectation-maximisation."""
+    tokens = [(i, [w.decode() for w in split(t, True)] + [None]) for i, t, _, _ in pairs]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10
+
+    def counted(chosen):
+        one, two, starts = collections.Counter(), collections.Counter(), 0
+        for ws in chosen:
+            one.update(ws)
+            two.update(zip(["<s>", *ws], ws, strict=False))
+            starts += 1
+        return one, two, starts, sum(one.values())
+
+    def estimates(ws, c):
+        one, two, starts, n = c
+        for u, w in zip(["<s>", *ws], ws, strict=False):
+            context = starts if u == "<s>" else one[u]
+            yield context, two[u, w] / context if context else 0.0, one[w] / max(n, 1)
+
+    training = counted([ws for i, ws in tokens if fold(i)])
+    rest = counted([ws for i, ws in tokens if fold(i) > 1])
+    v = len(training[0])
+    events = collections.Counter()
+    grid = lambda x: round(math.log2(x) * 4) if x > 0 else -1000
+    for i, ws in tokens:
+        if fold(i) == 1:
+            events.update((min(math.frexp(c)[1], 47), grid(f2), grid(f1)) for c, f2, f1 in estimates(ws, rest))
+
+    def em(cells):
+        w = [1 / 3] * 3
+        for _ in range(80):
+            now = [1.0] * 3
+            for (_, q2, q1), n in cells:
+                f = [a * (2.0 ** (q / 4) if q != -1000 else 0.0) for a, q in zip(w[:2], (q2, q1), strict=True)] + [w[2] / (v + 1)]
+                now = [a + n * x / sum(f) for a, x in zip(now, f, strict=True)]
+            w = [a / sum(now) for a in now]
+        return w
+
+    overall = em(list(events.items()))
+    weights = {}
+    for b in range(48):
+        mine = [e for e in events.items() if e[0][0] == b]
+        weights[b] = em(mine) if mine else overall
+    weights[0] = [0.0, weights[0][1] / sum(weights[0][1:]), weights[0][2] / sum(weights[0][1:])]
+    out = []
+    for i, ws in tokens:
+        score = 0.0
+        for c, f2, f1 in estimates(ws, training):
+            a, b, u = weights[min(math.frexp(c)[1], 47)]
+            score += math.log10(a * f2 + b * f1 + u / (v + 1))
+        out.append((i, score))
+    return out
+
+
+def test_scores_against_plain_counting(docs, pairs):
+    got = sorted((r.doc_id, r.score) for r in deleted_interpolation.scored(docs).collect())
+    want = sorted(brute_scores(pairs))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-6)

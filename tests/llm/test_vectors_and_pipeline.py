@@ -1,10 +1,12 @@
 import math
+import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftwell.llm import itq_neighbours, registry
+from siftwell.llm import _common, itq_neighbours, registry
 
 
 def test_neighbours(spark):
@@ -57,6 +59,18 @@ def test_every_length_has_its_links(spark):
     assert all(got[1000 * d + n + i].component_id < 1000 * d + n for d, n in ((8, 40), (24, 60), (32, 20)) for i in range(n))
 
 
+def test_vectors_without_an_id_link_others(spark):
+    r = np.random.default_rng(13)
+    x = r.normal(size=(40, 16))
+    way = x[1] - (x[1] @ x[0]) / (x[0] @ x[0]) * x[0]
+    a, b = x[0] / np.linalg.norm(x[0]), way / np.linalg.norm(way)
+    turned = lambda t: (math.cos(t) * a + math.sin(t) * b).tolist()
+    rows = [(1, turned(0.0)), (None, turned(0.3)), (9, turned(0.6))] + [(100 + i, v.tolist()) for i, v in enumerate(x[2:])]
+    got = {r.vec_id: r for r in itq_neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i].n_links for i in (1, None, 9)] == [1, 2, 1]
+    assert got[1].component_id == got[9].component_id == 1 and got[None].component_id is None
+
+
 def test_layout_meets_the_recall_it_promises():
     for n in (10, 10**4, 10**9):
         s, m, far = itq_neighbours.layout(n)
@@ -91,3 +105,19 @@ def test_stages_on_an_empty_table(spark, empty):
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert math.isclose(itq_neighbours.flip_rate(0), 0.5)
+
+
+def test_hot_keys_are_dealt_to_many_tasks(spark, monkeypatch):
+    left = spark.range(3000).selectExpr("id", "case when id < 2000 then 7 when id < 2100 then null else id end as k")
+    right = _common.saved(left.where("k is not null").groupBy("k").agg(F.count("*").alias("m")), "right")
+    monkeypatch.setattr(_common, "HOT", 10)
+    got = _common.joined_on(left, right, ["k"], "m", F.col("id"), "left")
+    assert sorted((r.id, r.k, r.m) for r in got.collect()) == [(i, *((7, 2000) if i < 2000 else (None, None) if i < 2100 else (i, 1))) for i in range(3000)]
+    assert sorted(r.id for r in _common.joined_on(left, right, ["k"], "m", F.col("id")).collect()) == [*range(2000), *range(2100, 3000)]
+
+
+def test_intermediate_tables_can_be_cleaned(spark):
+    path = _common.fresh(spark, "x")
+    spark.range(3).write.parquet(path)
+    _common.clean(spark)
+    assert not os.path.exists(path.removeprefix("file://")) and not _common._made
