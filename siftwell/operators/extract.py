@@ -50,11 +50,12 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     body = F.regexp_replace(F.col(html), r"(?is)<base\b[^>]*>", " ")
     raw = F.concat(all_of(body, ATTRIBUTE), F.flatten(F.transform(all_of(body, SRCSET), srcset)), all_of(body, CSS_URL))
     each = pages.select(F.col(url).alias("source"), document_base(F.col(html), F.col(url)).alias("base"), F.explode(F.array_distinct(raw)).alias("raw"))
-    ref = entities(F.btrim(F.col("raw")))
+    each = each.withColumn("ref", entities(F.btrim(F.col("raw"))))
+    ref = F.col("ref")
     skip = (ref == "") | ref.startswith("#") | filters.template_placeholder(ref)
     for s in NOT_NAVIGATED:
         skip = skip | F.lower(ref).startswith(s)
-    out = each.where(~skip).select("source", urls.resolve(F.col("base"), ref).alias("value"))
+    out = urls.resolved(each.where(~skip), "base", "ref", "value").select("source", "value")
     return out.where(urls.scheme(F.col("value")).isin("http", "https") & (urls.authority(F.col("value")) != "")).distinct()
 
 

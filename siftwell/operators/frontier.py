@@ -1,9 +1,10 @@
 """What to look at next: ordering, template caps, permuted paths, replay plans, and reach over captured pages."""
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import urls
+from . import filters, urls
 from .reduce import first_per_class
 
 
@@ -30,14 +31,29 @@ def template_sample(targets: DataFrame, order: list, k: int = 3, url: str = "url
     return first_per_class(targets.withColumn("template", urls.template_key(F.col(url))), ["template"], order, k)
 
 
-def permuted(found: DataFrame, known: DataFrame) -> DataFrame:
-    """New addresses: the path variants of each address under the levels of the others of its origin. Each path meets
-    the levels of one origin only, and known addresses go before anything is kept."""
-    origin = urls.origin(F.col("url"))
-    levels = found.select(origin.alias("origin"), F.explode(urls.levels(F.col("url"))).alias("level")).distinct()
-    paths = found.select(origin.alias("origin"), F.explode(urls.path_variants(urls.path(F.col("url")))).alias("path")).distinct()
-    made = levels.join(paths, "origin").select(F.concat("origin", "level", "path").alias("url")).distinct()
-    return made.join(known.select("url").union(found.select("url")), "url", "left_anti").withColumn("score", urls.target_score(F.col("url")))
+def permuted(found: DataFrame, known: DataFrame, most: int | None = None) -> DataFrame:
+    """(url, score): the path variants of an origin's addresses under the levels of its other ones, neither known nor assets.
+
+    An origin with one address makes none. With `most` an origin gives at most its 4 * most + 64 best, by score and address.
+    Of a path's variants that give the same path the one with the likelier mount counts.
+    """
+    each = found.select(urls.without_fragment(F.col("url")).alias("url")).distinct().withColumn("origin", urls.origin(F.col("url")))
+    each = each.where(urls.scheme(F.col("url")).isin("http", "https"))
+    many = each.groupBy("origin").agg(F.count("*").alias("n")).where("n > 1").select("origin")
+    each = each.join(many, "origin")
+    levels = each.select("origin", F.explode(urls.levels(F.col("url"))).alias("level")).distinct()
+    variants = each.select("origin", F.explode(urls.path_variants(F.col("url"))).alias("v"))
+    worth = F.when(F.col("v.mount"), 500).otherwise(0) - 150 * F.col("v.trimmed")
+    paths = variants.groupBy("origin", F.col("v.path").alias("path"), F.col("v.query").alias("query")).agg(F.max_by("v", worth).alias("v"))
+    search = F.when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise("")
+    made = levels.join(paths, "origin").withColumn("url", F.concat("origin", "level", "path", search))
+    made = made.where(filters.crawlable(urls.path(F.col("url"))))
+    scored = made.groupBy("origin", "url").agg(F.max(urls.permutation_score(F.col("url"), F.col("level"), F.col("v"))).alias("score"))
+    seen = known.select(urls.without_fragment(F.col("url")).alias("url")).union(each.select("url"))
+    new = scored.join(seen, "url", "left_anti")
+    if most is not None:
+        new = first_per_class(new, ["origin"], [F.col("score").desc(), "url"], 4 * most + 64)
+    return new.select("url", "score")
 
 
 def best(candidates: DataFrame, k: int) -> DataFrame:
@@ -52,6 +68,7 @@ def replay_plan(params: DataFrame, levels: DataFrame, most: int = 500) -> DataFr
 
 def reached(spark, edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """(url, depth) of pages within `depth` links of the seeds, over captured links (source, value)."""
+    edges = edges.persist(StorageLevel.DISK_ONLY)  # found once, met at every depth
     seen = seeds.select("url", F.lit(0).alias("depth"))
     front = seen
     for d in range(1, depth + 1):
@@ -72,5 +89,11 @@ def suppressed_contexts(matches: DataFrame, least: int = 8) -> DataFrame:
 
 
 def without_listed(artifacts: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """Artifacts whose source ends with none of the listed suffixes. The list is a parameter file of the scan."""
-    return artifacts.join(suffixes, artifacts["source"].endswith(suffixes["suffix"]), "left_anti")
+    """Artifacts whose source ends with none of the listed suffixes: an equality join on the ends of the lengths that the list has."""
+    listed = suffixes.select("suffix").where("suffix <> ''").distinct()
+    lengths = sorted(r[0] for r in listed.select(F.length("suffix")).distinct().collect())
+    if not lengths:
+        return artifacts
+    ends = F.array_distinct(F.array(*[F.right(F.col("source"), F.lit(n)) for n in lengths]))
+    hit = artifacts.select("source").distinct().withColumn("suffix", F.explode(ends)).join(listed, "suffix", "left_semi").select("source").distinct()
+    return artifacts.join(hit, "source", "left_anti")

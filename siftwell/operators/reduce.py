@@ -1,5 +1,7 @@
 """Dedup, ranking, fingerprints and summaries of matches."""
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -8,10 +10,10 @@ from .rules import SEVERITIES
 
 
 def severity_rank(severity: Column) -> Column:
-    """high 4, medium 3, low 2, info 1, else 0."""
-    out = F.lit(0)
+    """high 4, medium 3, low 2, info 1, else 0, whatever the case and the white space around."""
+    plain, out = F.lower(F.btrim(severity, F.lit(" \t\n\r\f\x0b"))), F.lit(0)
     for i, s in enumerate(reversed(SEVERITIES)):
-        out = F.when(severity == s, i + 1).otherwise(out)
+        out = F.when(plain == s, i + 1).otherwise(out)
     return out
 
 
@@ -60,11 +62,28 @@ def canonical(matches: DataFrame) -> DataFrame:
 
 
 def checksum(matches: DataFrame) -> DataFrame:
-    """One row: SHA-256 of the array of all canonical matches in order. A report is one value: its rows are few by then."""
+    """One row: SHA-256 of the array of all canonical matches in order.
+
+    The value is defined over one long text, so it is hashed in order: ranges of the sorted matches are joined by Spark, and
+    the driver feeds one range after another to the hash, holding one range at a time.
+    """
+    spark = matches.sparkSession
     order = ["pattern", "value", "params", "severity"]
-    all_ = canonical(matches).agg(F.array_sort(F.collect_list(F.struct(*order, "json"))).alias("a"))
-    text = F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["json"]), ","), F.lit("]"))
-    return all_.select(F.sha2(text.cast("binary"), 256).alias("checksum"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = canonical(matches).select(*order, "json").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    digest, first = hashlib.sha256(b"["), True
+    for row in rows.select("json").toLocalIterator(prefetchPartitions=False):
+        digest.update((b"" if first else b",") + row.json.encode())
+        first = False
+    digest.update(b"]")
+    return spark.createDataFrame([(digest.hexdigest(),)], "checksum string")
+
+
+def order_free_digest(matches: DataFrame) -> DataFrame:
+    """One row that equal sets of matches share, whatever their order: the sum of their 128-bit hashes and their number. It is
+    summed where the rows are, for reports too large to be hashed in order."""
+    half = lambda at: F.sum(F.conv(F.substring(F.md5(F.col("json").cast("binary")), at, 16), 16, 10).cast("decimal(38,0)"))
+    return canonical(matches).agg(F.count("*").alias("n"), F.coalesce(half(1), F.lit(0)).cast("string").alias("left"), F.coalesce(half(17), F.lit(0)).cast("string").alias("right"))
 
 
 def by_severity(matches: DataFrame) -> DataFrame:
@@ -93,15 +112,6 @@ def first_per_class(rows: DataFrame, key: list[str], order: list, k: int) -> Dat
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dom_dedup(findings: DataFrame) -> DataFrame:
-    """Flow findings merged by fingerprint: the first page, the highest severity, all triggers, the pages they were seen on."""
-    rank = severity_rank(F.col("severity"))
-    return findings.groupBy("fingerprint").agg(
-        F.min("page_url").alias("page_url"), F.max_by("severity", rank).alias("severity"), F.bool_or("confirmed").alias("confirmed"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("triggers")))).alias("triggers"), F.count_distinct("page_url").alias("seen_on_pages"),
-    )
-
-
 def hints(rows: DataFrame) -> DataFrame:
     """Source hints merged by scope, kind and name; only the four kinds, their provenance joined and sorted."""
     kept = rows.where(F.col("kind").isin("query", "localStorage", "sessionStorage", "cookie"))

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import required_literal, to_java
-from . import filters, scripts
+from . import filters
 from .rules import Rule, default_rules
 
 MATCH = ("source", "pattern", "value", "params", "severity", "ord", "line_no")
@@ -74,7 +74,15 @@ def ipv6_like(text: Column) -> Column:
     short = t.contains("::") & (F.size(F.split(t, "::")) == 2)
     shape = F.forall(groups, lambda g: g.rlike("^[0-9a-fA-F]{1,4}\\z"))
     edges = (~t.startswith(":") | t.startswith("::")) & (~t.endswith(":") | t.endswith("::"))
-    return shape & edges & ~t.contains(":::") & F.when(short, n <= 7).otherwise((n == 8) & ~t.contains("::")) & (n >= 3) & ~F.coalesce(_zeros_then_one(groups), F.lit(False))
+    return shape & edges & ~t.contains(":::") & F.when(short, n <= 7).otherwise((n == 8) & ~t.contains("::")) & (n >= 3) & ~F.coalesce(_zeros_then_one(groups), F.lit(False)) & ~_mapped(t, groups)
+
+
+def _mapped(t: Column, groups: Column) -> Column:
+    """Whether an address of eight groups, written out, starts with five zeros and ffff: one of the older protocol."""
+    missing = F.greatest(8 - F.size(groups), F.lit(0))
+    before = F.filter(F.split(F.substring_index(t, "::", 1), ":"), lambda g: g != "")
+    full = F.when(t.contains("::"), F.concat(before, F.array_repeat(F.lit("0"), missing), F.slice(groups, F.size(before) + 1, F.size(groups) + 1))).otherwise(groups)
+    return F.array_join(F.transform(full, lambda g: F.lower(F.regexp_replace(g, "^0+(?=.)", ""))), ":").rlike("^(?:0:){5}ffff:")
 
 
 def _zeros_then_one(groups: Column) -> Column:
@@ -82,18 +90,40 @@ def _zeros_then_one(groups: Column) -> Column:
     return value.rlike("^0(?::0)*(?::1)?\\z")
 
 
-def scan(artifacts: DataFrame, rules: list[Rule] | None = None, body: str = "body") -> DataFrame:
-    """Every match of every rule in every line, as MATCH rows; artifacts has source, ord and the body."""
-    rules = rules if rules is not None else default_rules()
-    line = F.col("line")
-    found = [F.transform(_hits(r, line), _row(r)) for r in rules]
-    flat = F.flatten(F.array(*[F.coalesce(f, F.array().cast("array<struct<pattern:string,value:string,severity:string>>")) for f in found]))
-    each = lines(artifacts, body).select("source", "ord", "line_no", F.explode(flat).alias("m"))
-    return each.select("source", "m.pattern", "m.value", F.lit("").alias("params"), "m.severity", "ord", "line_no")
+def _gate(rule: Rule, body: Column, lower: Column) -> Column:
+    """What every body with a match of the rule fulfils, as far as that is cheap to see."""
+    if rule.name in GATES:
+        return body.rlike(GATES[rule.name])
+    if rule.name == "path":
+        return body.rlike(r"[/\\]")
+    literal = required_literal(rule.pattern)
+    return F.lit(True) if literal is None else (lower if literal[1] else body).contains(literal[0])
 
 
-def _row(rule: Rule):
-    return lambda v: F.struct(F.lit(rule.name).alias("pattern"), v.alias("value"), F.lit(rule.severity).alias("severity"))
+def scan(artifacts: DataFrame, rules: list[Rule] | None = None, body: str = "body", whole: bool = False) -> DataFrame:
+    """Every match of every rule in every line, as MATCH rows; artifacts has source, ord and the body. With `whole` a body is
+    one line, whatever it holds.
+
+    One pass over a body tells which rules can match in it at all; its lines then meet those rules only, a row each.
+    """
+    rules = rules if rules is not None else default_rules()
+    if not rules:
+        return artifacts.select("source", *[F.lit("").alias(c) for c in MATCH[1:5]], "ord", F.lit(0).alias("line_no")).limit(0)
+    text = artifacts.select("source", "ord", F.col(body).alias("body")).withColumn("lower", F.lower("body"))
+    fits = F.array_compact(F.array(*[F.when(_gate(r, F.col("body"), F.col("lower")), F.lit(i)) for i, r in enumerate(rules)]))
+    some = text.select("source", "ord", "body", fits.alias("fits")).where(F.size("fits") > 0)
+    if whole:
+        parts = some.select("source", "ord", "fits", F.lit(0).alias("line_no"), F.col("body").alias("line"))
+    else:
+        parts = some.select("source", "ord", "fits", F.posexplode(F.split("body", "\r?\n")).alias("line_no", "line"))
+    each = parts.where(F.col("line") != "").select("source", "ord", "line_no", "line", F.explode("fits").alias("rule"))
+    found = None
+    for i, r in enumerate(rules):
+        hits = _hits(r, F.col("line"))
+        found = F.when(F.col("rule") == i, hits) if found is None else found.when(F.col("rule") == i, hits)
+    each = each.select("source", "ord", "line_no", "rule", F.explode(found).alias("value"))
+    said = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("rule"))
+    return each.select("source", said([r.name for r in rules]).alias("pattern"), "value", F.lit("").alias("params"), said([r.severity for r in rules]).alias("severity"), "ord", "line_no")
 
 
 def scan_distinct(artifacts: DataFrame, rules: list[Rule] | None = None, body: str = "body") -> DataFrame:
@@ -104,13 +134,6 @@ def scan_distinct(artifacts: DataFrame, rules: list[Rule] | None = None, body: s
     return found.join(keyed.select("source", "ord", "__sha"), "__sha").select(*MATCH)
 
 
-def headers(artifacts: DataFrame, body: str = "body") -> DataFrame:
-    """http_header in every line, as MATCH rows; low. All forms that are read have the word header in them."""
-    each = lines(artifacts, body).where(F.lower("line").contains("header"))
-    found = scripts.explode_with(each.select(F.struct("source", "ord", "line_no").alias("at"), "line"), "at", "line", scripts.http_headers, "value string")
-    return found.select("at.source", F.lit("http_header").alias("pattern"), "value", F.lit("").alias("params"), F.lit("low").alias("severity"), "at.ord", "at.line_no")
-
-
 def entropy_matches(artifacts: DataFrame, least: float = 4.5, body: str = "body") -> DataFrame:
     """Runs of 20 and more base64 characters whose Shannon entropy reaches `least` bits; high."""
     hits = F.regexp_extract_all(F.col("line"), F.lit("[A-Za-z0-9+/=]{20,}"), F.lit(0))
@@ -126,9 +149,3 @@ def shannon(text: Column) -> Column:
         return -p * F.log2(p)
 
     return F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda a, c: a + part(c))
-
-
-def string_values(body: Column) -> Column:
-    """Sorted distinct contents of quoted literals without escapes, and of sums of two such."""
-    one = r"""["'`]([^"'`\\\n]*)["'`]"""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(body, F.lit(one), F.lit(1))))

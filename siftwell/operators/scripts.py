@@ -12,9 +12,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
-_CALL = re.compile(r"""(?P<fetch>\bfetch)\s*\(|\b(?P<axios>axios)\.post\s*\(|(?P<jq>\$)\.post\s*\(|(?P<ajax>\$\.ajax)\s*\(|(?P<any>[\w$]+)\.post\s*\(""")
-_OPEN = re.compile(r"""([\w$]+)\.open\s*\(\s*["']POST["']\s*,\s*["'`]([^"'`]+)["'`]""", re.I)
-_STRING = re.compile(r"""\s*["'`]([^"'`]*)["'`]""")
 
 
 def balanced(text: str, start: int) -> str:
@@ -42,71 +39,6 @@ def balanced(text: str, start: int) -> str:
     return text[start:i].strip()
 
 
-def _arguments(text: str, at: int) -> list[str]:
-    out = []
-    while at < len(text) and text[at] != ")" and len(out) < 4:
-        while at < len(text) and text[at] in " \t\n\r,":
-            at += 1
-        if at >= len(text) or text[at] == ")":
-            break
-        part = balanced(text, at)
-        out.append(part)
-        at += max(1, len(part))
-    return out
-
-
-def _property(obj: str, name: str) -> str:
-    m = re.search(rf"""["']?\b{name}["']?\s*:\s*""", obj)
-    return balanced(obj, m.end()) if m else ""
-
-
-def post_requests(text: str) -> list[tuple[str, str]]:
-    """Distinct (address, parameters) of requests by POST: fetch, axios, $.post, $.ajax, other .post calls, XHR."""
-    out: dict[tuple[str, str], None] = {}
-    objects = {m[1]: balanced(text, m.end() - 1) for m in reversed(list(re.finditer(r"(?:const|let|var)\s+([\w$]+)\s*=\s*\{", text)))}
-    for m in _CALL.finditer(text):
-        args = _arguments(text, m.end())
-        if not args:
-            continue
-        address = _STRING.match(args[0])
-        if m["ajax"]:
-            kind, url = _property(args[0], "(?:type|method)"), _STRING.match(_property(args[0], "url"))
-            if url and re.match(r"""["']post["']""", kind, re.I):
-                out[url[1], _property(args[0], "data")] = None
-        elif m["fetch"]:
-            options = objects.get(args[1], args[1]) if len(args) > 1 else ""
-            if address and re.match(r"""["']post["']""", _property(options, "method"), re.I):
-                out[address[1], _property(options, "body")] = None
-        elif address and re.match(r"(?:\.{0,2}/|https?://)", address[1]):
-            out[address[1], args[1] if len(args) > 1 else ""] = None
-    for m in _OPEN.finditer(text):
-        sent = re.compile(rf"\b{re.escape(m[1])}\.send\s*\(").search(text, m.end())
-        args = _arguments(text, sent.end()) if sent else []
-        out[m[2], args[0] if args else ""] = None
-    return list(out)
-
-
-#: Names that are headers wherever they stand.
-HEADERS = ("authorization", "content-type", "accept", "cookie", "origin", "referer", "user-agent", "cache-control", "if-none-match", "access-control-allow-origin")
-_MAP = re.compile(r"""(?:\bheaders["']?\s*[:=]\s*(?:new\s+Headers\s*\(\s*)?|\bnew\s+Headers\s*\(\s*)\{""", re.I)
-_ENTRY = re.compile(r"""["']?([A-Za-z][A-Za-z0-9-]*)["']?\s*:\s*("[^"\n]*"|'[^'\n]*'|`[^`\n]*`)""")
-_SET = re.compile(r"""(?:setRequestHeader|setHeader|headers\.(?:set|append))\s*\(\s*["']([A-Za-z][A-Za-z0-9-]*)["']\s*,\s*("[^"\n]*"|'[^'\n]*'|`[^`\n]*`)""", re.I)
-
-
-def http_headers(line: str) -> list[str]:
-    """Distinct `Name: value` of header maps and setter calls in a line; values that say nothing are left out."""
-    found = []
-    for m in _MAP.finditer(line):
-        found += _ENTRY.findall(balanced(line, m.end() - 1))
-    found += _SET.findall(line)
-    out = {}
-    for name, value in found:
-        v = value[1:-1].strip()
-        if v and v.lower() not in ("void", "null", "undefined", "case") and (name.lower() in HEADERS or "-" in name or name.lower().startswith("x")):
-            out[f"{name}: {v}"] = None
-    return list(out)
-
-
 _HINTS = (
     ("query", "URLSearchParams", re.compile(r"""(?:searchParams|URLSearchParams\([^)]*\)|\bparams)\.(?:get|getAll|has)\(\s*["'`]([^"'`]+)["'`]""")),
     ("query", "router.query", re.compile(r"""\brouter\.query\.([A-Za-z_$][\w$]*)""")),
@@ -133,19 +65,8 @@ def valid_hint_name(name: Column) -> Column:
     return (name != "") & (F.octet_length(name) <= 128) & ~name.rlike("[\\x00-\\x20\\x7f&=#?/%\\\\\"'`]")
 
 
-def joined_literals(text: str) -> list[str]:
-    """Sorted values that a script puts together from literals with + and that it does not hold as they are."""
-    out = set()
-    for m in re.finditer(r"""\b(?:var|let|const)\s+[\w$]+\s*=\s*((?:"[^"\n]*"|'[^'\n]*')(?:\s*\+\s*(?:"[^"\n]*"|'[^'\n]*'))+)""", text):
-        out.add("".join(x[1:-1] for x in re.findall(r""""[^"\n]*"|'[^'\n]*'""", m[1])))
-    return sorted(x for x in out if x and x not in text)
-
-
 def explode_with(df: DataFrame, key: str, body: str, function, fields: str) -> DataFrame:
     """(key, fields) with one row for each tuple that function gives for a body; a null body gives none."""
-
-
-
     schema = StructType([StructField(key, df.schema[key].dataType), *StructType.fromDDL(fields).fields])
     arrow = to_arrow_schema(schema)
 
@@ -161,26 +82,19 @@ def explode_with(df: DataFrame, key: str, body: str, function, fields: str) -> D
     return df.select(key, body).mapInArrow(run, schema)
 
 
-def auth_params(endpoint: Column) -> Column:
-    """The parameters that an address of an account flow usually takes."""
-    e = F.lower(endpoint)
-    return (
-        F.when(e.contains("login") | e.contains("signin"), "username, password").when(e.contains("register") | e.contains("signup"), "username, email, password")
-        .when(e.contains("reset") | e.contains("forgot"), "email").when(e.contains("verify"), "code").otherwise("")
-    )
-
-
 def snippet(body: Column, value: Column, radius: int = 200) -> Column:
-    """The first occurrence of a value with so many characters around it, dots where the text goes on."""
-    at = F.call_function("instr", body, value)
-    start = F.greatest(at - radius, F.lit(1))
-    stop = F.least(at + F.length(value) - 1 + radius, F.length(body))
-    text = F.substring(body, start, stop - start + 1)
-    return F.when(at > 0, F.concat(F.when(start > 1, "…").otherwise(""), text, F.when(stop < F.length(body), "…").otherwise("")))
+    """The first occurrence of a value with so many bytes around it, dots where the text goes on; null if it is not there."""
+    raw, sought = body.cast("binary"), value.cast("binary")
+    before = F.octet_length(F.call_function("substring_index", body, value, F.lit(1)))
+    start = F.greatest(before - radius, F.lit(0))
+    stop = F.least(before + F.octet_length(sought) + radius, F.octet_length(raw))
+    # a character that the window cuts reads as replacement marks, which go
+    text = F.regexp_replace(F.substring(raw, start + F.lit(1), stop - start).cast("string"), "^\ufffd+|\ufffd+\\z", "")
+    return F.when(F.contains(body, value), F.concat(F.when(start > 0, "…").otherwise(""), text, F.when(stop < F.octet_length(raw), "…").otherwise("")))
 
 
 def retry_after(value: Column, now: Column) -> Column:
-    """Seconds to wait: a number, or the time until an HTTP date; null if neither."""
+    """Seconds to wait: a number, or the time until an HTTP date; null if neither, 0 at least."""
     seconds = value.try_cast("long")
     date = F.try_to_timestamp(F.regexp_replace(value, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(seconds, F.when(date.isNotNull(), F.greatest(F.unix_timestamp(date) - F.unix_timestamp(now), F.lit(0))))
+    return F.coalesce(F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0))), F.when(date.isNotNull(), F.greatest(F.unix_timestamp(date) - F.unix_timestamp(now), F.lit(0))))

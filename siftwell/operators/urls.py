@@ -1,6 +1,6 @@
 """URLs: parts, resolution, scope, template keys, levels and scores, all as Column functions."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
@@ -77,16 +77,37 @@ def _resolved(b: Column, r: Column) -> Column:
         F.when(r["scheme"] != "", r["all"])
         .when(r["all"].startswith("//"), F.concat(b["scheme"], F.lit(":"), r["all"]))
         .when(r["path"] == "", F.concat(site, b["path"], F.when(r["search"] != "", r["search"]).otherwise(b["search"])))
-        .otherwise(F.concat(site, without_dots(full), r["search"]))
+        .otherwise(F.concat(site, F.when(full.contains("/."), without_dots(full)).otherwise(full), r["search"]))
     )
 
 
-def variable_segment(s: Column) -> Column:
-    """Digits, an UUID, a date, eight hexadecimal digits and more, or twelve characters and more with a digit."""
-    return (
-        s.rlike(r"^\d+\z") | s.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z") | s.rlike(r"^\d{4}([-/]\d{1,2}){0,2}\z")
-        | s.rlike(r"(?i)^[0-9a-f]{8,}\z") | ((F.octet_length(s) >= 12) & s.rlike("[0-9]"))
+def resolved(df: DataFrame, base: str, ref: str, out: str) -> DataFrame:
+    """df with the column out, the reference against the base as resolve() has it, by plain columns that Spark compiles: for
+    many rows. Dot segments are looked at only where there are some."""
+    b, r = without_fragment(F.col(base)), without_fragment(F.btrim(F.col(ref)))
+    names = {"__bs": scheme(b), "__ba": authority(b), "__bp": path(b), "__r": r}
+    d = df.withColumns(names).withColumns({"__rs": scheme(F.col("__r")), "__rp": path(F.col("__r"))})
+    site, search = F.concat("__bs", F.lit("://"), "__ba"), F.regexp_extract(F.col("__r"), r"^[^?]*(\?.*)$", 1)
+    folder = F.regexp_replace(F.when(F.col("__bp") == "", F.lit("/")).otherwise(F.col("__bp")), "[^/]*$", "")
+    d = d.withColumn("__full", F.when(F.col("__rp").startswith("/"), F.col("__rp")).otherwise(F.concat(folder, "__rp")))
+    value = (
+        F.when(F.col("__rs") != "", F.col("__r")).when(F.col("__r").startswith("//"), F.concat("__bs", F.lit(":"), "__r"))
+        .when(F.col("__rp") == "", F.concat(site, F.col("__bp"), F.when(search != "", search).otherwise(F.regexp_extract(b, r"^[^?]*(\?.*)$", 1))))
+        .otherwise(F.concat(site, F.when(F.col("__full").contains("/."), without_dots(F.col("__full"))).otherwise(F.col("__full")), search))
     )
+    return d.withColumn(out, value).drop("__bs", "__ba", "__bp", "__r", "__rs", "__rp", "__full")
+
+
+#: Segments that are data: digits, an UUID, a date, eight hexadecimal digits and more.
+DATA = (r"^\d+\z", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z", r"^\d{4}([-/]\d{1,2}){0,2}\z", r"(?i)^[0-9a-f]{8,}\z")
+
+
+def variable_segment(s: Column) -> Column:
+    """Data, or twelve bytes and more with a digit."""
+    out = (F.octet_length(s) >= 12) & s.rlike("[0-9]")
+    for p in DATA:
+        out = out | s.rlike(p)
+    return out
 
 
 def template_key(url: Column) -> Column:
@@ -125,9 +146,47 @@ def levels(url: Column) -> Column:
     return let(F.filter(F.split(level(url), "/"), lambda x: x != ""), of)
 
 
-def path_variants(p: Column) -> Column:
-    """Of a path: itself, without its first segment, its last two segments, its last one."""
-    parts = F.filter(F.split(p, "/"), lambda x: x != "")
-    n = F.size(parts)
-    tail = lambda k: F.array_join(F.slice(parts, F.greatest(n - k + 1, F.lit(1)), F.greatest(k, F.lit(1))), "/")
-    return F.when(n > 0, F.array_distinct(F.array(F.array_join(parts, "/"), F.when(n > 1, tail(n - 1)).otherwise(tail(n)), tail(F.least(n, F.lit(2))), tail(F.lit(1)))))
+#: First segments that are likely mounts, beside v and a number.
+MOUNTS = (
+    "api", "rest", "rpc", "legacy", "old", "public", "private", "static", "assets", "asset", "scripts", "script", "js", "src", "dist", "build",
+    "app", "web",
+)
+VARIANT = "struct<path:string,query:string,trimmed:int,mount:boolean>"
+
+
+def _plain(segment: Column) -> Column:
+    return F.coalesce(F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B"))), segment)
+
+
+def likely_mount(segment: Column) -> Column:
+    return let(F.lower(_plain(segment)), lambda s: s.isin(*MOUNTS) | s.rlike("^v[0-9]+\\z"))
+
+
+def path_variants(url: Column) -> Column:
+    """Of an address, as VARIANT: its path, the path after a likely mount, its last two segments, and for files and interfaces
+    its last one; a closing slash and the query stay. Of equal ones the first counts."""
+    p = F.regexp_replace(path(url), "^/", "")
+
+    def of(segments: Column) -> Column:
+        n, end = F.size(segments), F.when(p.endswith("/"), "/").otherwise("")
+        tail = lambda k: F.concat(F.array_join(F.slice(segments, F.greatest(n - k + 1, F.lit(1)), k), "/"), end)
+        one = lambda text, trimmed, mount: F.struct(text.alias("path"), query(url).alias("query"), trimmed.cast("int").alias("trimmed"), F.lit(mount).alias("mount"))
+        made = F.array(
+            one(p, F.lit(0), False),
+            F.when((n > 1) & likely_mount(F.get(segments, F.lit(0))), one(tail(n - 1), F.lit(1), True)),
+            F.when(n > 2, one(tail(F.lit(2)), n - 2, False)),
+            F.when((n > 1) & target_score(url).isin(100, 90), one(tail(F.lit(1)), n - 1, False)),
+        )
+        some = F.filter(made, lambda v: v.isNotNull())
+        return F.filter(some, lambda v, i: F.array_position(F.transform(some, lambda x: x["path"]), v["path"]) == i + 1)
+
+    return F.when(p != "", let(F.split(F.regexp_replace(p, "/$", ""), "/"), of))
+
+
+def permutation_score(url: Column, under: Column, variant: Column) -> Column:
+    """How promising an address is that was made of a variant under a level: crossing branches helps, repeating a segment hurts."""
+    last = F.lower(_plain(F.substring_index(F.regexp_replace(under, "/$", ""), "/", -1)))
+    first = F.lower(_plain(F.substring_index(F.btrim(variant["path"], F.lit("/")), "/", 1)))
+    slashes = F.length(variant["path"]) - F.length(F.replace(variant["path"], F.lit("/"), F.lit("")))
+    crossing = F.when(last == "", -50).when(last == first, -3000).otherwise(200)
+    return target_score(url) * 100 - variant["trimmed"] * 150 - slashes * 5 + F.when(variant["mount"], 500).otherwise(0) + crossing

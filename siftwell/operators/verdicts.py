@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from .reduce import fingerprint, first_per_class
 
 _SPACE = r"[ \t\n\r\f\x0b]+"
@@ -21,10 +22,14 @@ def bucket(n: Column) -> Column:
 
 
 def structural_signature(body: Column) -> Column:
-    """Sorted tag:bucket pairs; without tags the bucket of the length in bytes."""
-    tags = F.transform(F.regexp_extract_all(body, F.lit("(?i)<([a-z][a-z0-9]*)"), F.lit(1)), lambda t: F.lower(t))
-    one = F.transform(F.array_sort(F.array_distinct(tags)), lambda t: F.concat(t, F.lit(":"), bucket(F.size(F.filter(tags, lambda x: x == t))).cast("string")))
-    return F.when(F.size(tags) == 0, F.concat(F.lit("len:"), bucket(F.octet_length(body)).cast("string"))).otherwise(F.array_join(one, ";"))
+    """Sorted tag:bucket pairs; without tags the bucket of the length in bytes. One sort, then runs of equal tags."""
+
+    def runs(tags: Column) -> Column:
+        new = F.filter(F.sequence(F.lit(0), F.size(tags) - 1), lambda i: (i == 0) | (F.get(tags, i) != F.get(tags, i - 1)))
+        return let(new, lambda at: F.array_join(F.transform(at, lambda i, k: F.concat(F.get(tags, i), F.lit(":"), bucket(F.coalesce(F.get(at, k + 1), F.size(tags)) - i).cast("string"))), ";"))
+
+    found = F.array_sort(F.transform(F.regexp_extract_all(body, F.lit("(?i)<([a-z][a-z0-9]*)"), F.lit(1)), lambda t: F.lower(t)))
+    return let(found, lambda tags: F.when(F.size(tags) == 0, F.concat(F.lit("len:"), bucket(F.octet_length(body)).cast("string"))).otherwise(runs(tags)))
 
 
 def structural_cap(pages: DataFrame, host: str, body: str, order: str, k: int = 3) -> DataFrame:
@@ -109,15 +114,16 @@ def unfiltered(middle: Column) -> Column:
 
 
 def reflection_verdict(context: Column, chars: Column) -> Column:
-    """(severity, confidence) of a reflection."""
+    """(severity, confidence, verdict) of a reflection."""
     has = lambda *cs: F.arrays_overlap(chars, F.array(*[F.lit(c) for c in cs]))
-    pair = lambda s, c: F.struct(F.lit(s).alias("severity"), F.lit(c).alias("confidence"))
-    low, medium = pair("low", "medium"), pair("medium", "high")
+    say = lambda s, c, v: F.struct(F.lit(s).alias("severity"), F.lit(c).alias("confidence"), F.lit(v).alias("verdict"))
+    breaks, kept = say("medium", "high", "worth_review"), say("low", "medium", "likely_benign")
     return (
-        F.when(context == "script", F.when(has('"', "'", "`"), medium).otherwise(low))
-        .when(context == "html_text", F.when(has("<") & has(">"), medium).otherwise(low))
-        .when(context == "html_attr", F.when(has('"', "'"), medium).otherwise(low))
-        .when(context == "html_comment", F.when(has("<") & has(">"), low).otherwise(pair("info", "medium"))).otherwise(pair("low", "low"))
+        F.when(context == "script", F.when(has('"', "'", "`"), breaks).otherwise(say("low", "medium", "worth_review")))
+        .when(context == "html_text", F.when(has("<") & has(">"), breaks).otherwise(kept))
+        .when(context == "html_attr", F.when(has('"', "'"), breaks).otherwise(kept))
+        .when(context == "html_comment", F.when(has("<") & has(">"), say("low", "medium", "worth_review")).otherwise(say("info", "medium", "likely_benign")))
+        .otherwise(say("low", "low", "worth_review"))
     )
 
 

@@ -23,7 +23,9 @@ def literal(x) -> str:
         return "NULL"
     if isinstance(x, bool):
         return str(x).lower()
-    if isinstance(x, int | float):
+    if isinstance(x, float):
+        return f"CAST({x} AS DOUBLE)"
+    if isinstance(x, int):
         return str(x)
     if isinstance(x, list):
         return f"[{', '.join(map(literal, x))}]"
@@ -43,4 +45,4 @@ class Inline:
     @property
     def sql(self) -> str:
         body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
-        return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(self.columns)}))"
+        return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(f'"{c}"' for c in self.columns)}))"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, reduce, rules, scan
+from ..operators import filters, headers, reduce, rules, scan
 from ..sources import sinks
 from ..sources.artifacts import from_table
 from ._book import Book, literal
@@ -52,7 +52,7 @@ DOC_SQL = scan_sql("documents", "doc_id", "text", PLAIN)
 
 
 def _scanned(artifacts, once=True):
-    return (scan.scan_distinct if once else scan.scan)(artifacts, RULES).unionByName(scan.headers(artifacts))
+    return (scan.scan_distinct if once else scan.scan)(artifacts, RULES).unionByName(headers.scan_headers(artifacts))
 
 
 def _found(spark, sf_dir):

@@ -207,14 +207,6 @@ def dom_flow_verdict(spark, sf_dir):
     return FLOWS.df(spark).select("id", verdicts.flow_verdict(F.col("context"), F.col("confirmed")).alias("v")).select("id", "v.severity", "v.confidence")
 
 
-FOUND = Inline("fingerprint string, page_url string, severity string, confirmed boolean, triggers array<string>", [("f", "/b", "low", False, ["page_load"]), ("f", "/a", "high", True, ["interaction", "page_load"]), ("f", "/a", "medium", False, ["interaction"]), ("g", "/c", "info", False, ["post_message"])])
-
-
-@B.add("dom_dedup", f"SELECT fingerprint, min(page_url) AS page_url, arg_max(severity, CASE severity WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END) AS severity, bool_or(confirmed) AS confirmed, array_to_string(list_sort(list_distinct(flatten(list(triggers)))), ',') AS triggers, count(DISTINCT page_url) AS seen_on_pages FROM {FOUND.sql} GROUP BY fingerprint")
-def dom_dedup(spark, sf_dir):
-    return reduce.dom_dedup(FOUND.df(spark)).withColumn("triggers", F.array_join("triggers", ","))
-
-
 REFLECTED = Inline("id int, body string", [(1, "<p>MARK"), (2, "<script>var a='MARK'"), (3, '<a href="MARK">'), (4, "<!-- MARK -->"), (5, "<script>1</script>MARK"), (6, "<scripty>MARK"), (7, "<!-- x --> MARK")])
 
 
@@ -284,26 +276,11 @@ def js_imports(spark, sf_dir):
     return SCRIPTS.df(spark).select("id", F.explode(extract.imports(F.col("body"))).alias("value"))
 
 
-@B.add("post_requests")
-def post_requests(spark, sf_dir):
-    return scripts.explode_with(SCRIPTS.df(spark), "id", "body", scripts.post_requests, "url string, params string")
-
-
-@B.add("http_headers")
-def http_headers(spark, sf_dir):
-    return scripts.explode_with(SCRIPTS.df(spark), "id", "body", scripts.http_headers, "header string")
-
-
 @B.add("source_hints")
 def source_hints(spark, sf_dir):
     return scripts.explode_with(SCRIPTS.df(spark), "id", "body", scripts.source_hints, "kind string, name string, provenance string")
 
 
-@B.add("joined_literals")
-def joined_literals(spark, sf_dir):
-    return scripts.explode_with(SCRIPTS.df(spark), "id", "body", scripts.joined_literals, "value string")
-
-
 FORMS = Inline("url string, html string", [("https://a.test/p/q", '<form method="post" action="/login"><input name="u"><input name="p"><input name="u"></form><FORM METHOD="POST"><select name="s"></select></FORM><form action="/g"><input name="x"></form>')])
 
 

@@ -106,19 +106,29 @@ def levels_with_ancestors(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.explode(urls.levels(F.col("url"))).alias("level"))
 
 
-PERMUTED = f"""o AS (SELECT url, {part('url', 1)} || '://' || {part('url', 2)} AS origin, {SEGMENTS} AS p, list_filter(string_split({part('url', 3)}, '/'), lambda x: x <> '') AS q FROM pages),
-  v AS (SELECT DISTINCT origin, unnest({LEVELS}) AS level FROM o),
-  w AS (SELECT DISTINCT origin, unnest([array_to_string(q, '/'), array_to_string(q[greatest(2, 1):], '/'), array_to_string(q[greatest(len(q) - 1, 1):], '/'), q[-1]]) AS path FROM o WHERE len(q) > 0),
-  made AS (SELECT DISTINCT origin || level || path AS url FROM v JOIN w USING (origin) WHERE path <> '')"""
-
-
-@B.add("permute_candidates", f"WITH {PERMUTED} SELECT url, {SCORE} AS score FROM made WHERE url NOT IN (SELECT url FROM pages)")
+# the variants of a path and their scores, by the rules of the blueprint: see permutation_cases for written-out values
+PERMUTED = f"""o AS (SELECT DISTINCT {part('url', 1)} || '://' || {part('url', 2)} AS origin, regexp_replace(url, '#.*', '') AS url, {part('url', 4)} AS query, substr({part('url', 3)}, 2) AS pp, {SEGMENTS} AS p, {SCORE} AS score FROM pages),
+  k AS (SELECT * FROM o WHERE origin IN (SELECT origin FROM o GROUP BY origin HAVING count(*) > 1)),
+  q AS (SELECT *, string_split(regexp_replace(pp, '/$', ''), '/') AS s, CASE WHEN ends_with(pp, '/') THEN '/' ELSE '' END AS e FROM k WHERE pp <> ''),
+  lv AS (SELECT DISTINCT origin, unnest({LEVELS}) AS level FROM k),
+  v AS (SELECT origin, query, pp AS path, 0 AS t, false AS mount FROM q
+    UNION ALL SELECT origin, query, array_to_string(s[2:], '/') || e, 1, true FROM q WHERE len(s) > 1 AND regexp_matches(lower(s[1]), '^(api|rest|rpc|legacy|old|public|private|static|assets|asset|scripts|script|js|src|dist|build|app|web|v[0-9]+)$')
+    UNION ALL SELECT origin, query, array_to_string(s[-2:], '/') || e, len(s) - 2, false FROM q WHERE len(s) > 2
+    UNION ALL SELECT origin, query, s[-1] || e, len(s) - 1, false FROM q WHERE len(s) > 1 AND score IN (100, 90)),
+  w AS (SELECT DISTINCT ON (origin, path, query) * FROM v WHERE path <> '' ORDER BY origin, path, query, (CASE WHEN mount THEN 500 ELSE 0 END - 150 * t) DESC),
+  made AS (SELECT lv.origin || level || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url, level, path, t, mount FROM lv JOIN w USING (origin)),
+  scored AS (SELECT url, max({SCORE} * 100 - 150 * t - 5 * (length(path) - length(replace(path, '/', ''))) + CASE WHEN mount THEN 500 ELSE 0 END
+    + CASE WHEN level = '/' THEN -50 WHEN lower(regexp_extract(level, '([^/]*)/$', 1)) = lower(string_split(trim(path, '/'), '/')[1]) THEN -3000 ELSE 200 END) AS score
+    FROM made WHERE lower(regexp_extract(regexp_extract({part('url', 3)}, '[^/]*$'), '\\.([^.]*)$', 1)) NOT IN ({', '.join(map(literal, filters.ASSETS))}) GROUP BY url)"""
+
+
+@B.add("permute_candidates", f"WITH {PERMUTED} SELECT url, score FROM scored WHERE url NOT IN (SELECT url FROM o)")
 def permute_candidates(spark, sf_dir):
     p = _pages(spark, sf_dir)
     return frontier.permuted(p, p)
 
 
-@B.add("permute_best", f"WITH {PERMUTED} SELECT url, {SCORE} AS score FROM made WHERE url NOT IN (SELECT url FROM pages) ORDER BY score DESC, url LIMIT 25")
+@B.add("permute_best", f"WITH {PERMUTED} SELECT url, score FROM scored WHERE url NOT IN (SELECT url FROM o) ORDER BY score DESC, url LIMIT 25")
 def permute_best(spark, sf_dir):
     p = _pages(spark, sf_dir)
     return frontier.best(frontier.permuted(p, p), 25)
@@ -127,8 +137,8 @@ def permute_best(spark, sf_dir):
 @B.add("scope_filter", f"WITH h AS (SELECT page_id, regexp_replace(lower({part('url', 2)}), '^www\\.', '') AS h FROM pages), b AS (SELECT h AS b FROM h WHERE page_id = 0) SELECT page_id FROM h, b WHERE h = b OR ends_with(h, '.' || b)")
 def scope_filter(spark, sf_dir):
     p = _pages(spark, sf_dir)
-    base = p.where("page_id = 0").select(urls.host(F.col("url")).alias("base")).first()[0]
-    return p.where(filters.same_scope(F.lit(base), urls.host(F.col("url")))).select("page_id")
+    base = p.where("page_id = 0").select(urls.host(F.col("url")).alias("base"))  # one row, or none where there is no such page
+    return p.join(F.broadcast(base), filters.same_scope(F.col("base"), urls.host(F.col("url")))).select("page_id")
 
 
 @B.add("allowlist_anti", "SELECT page_id FROM pages p WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('1'), ('7')) s(x) WHERE ends_with(p.url, s.x))")

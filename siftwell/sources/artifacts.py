@@ -33,7 +33,7 @@ def from_files(spark: SparkSession, root: str) -> DataFrame:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if path.lower().endswith((".zip", ".jar")):
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        found = [(f"{path}:{n}", z.read(n)) for n in z.namelist() if n.lower().rsplit(".", 1)[-1] in EXTENSIONS]
+                        found = [(f"{path}:{n}", z.open(n).read(MOST_BYTES)) for n in z.namelist() if n.lower().rsplit(".", 1)[-1] in EXTENSIONS]
                 else:
                     found = [(path.rsplit("/", 1)[-1], content)]
                 for name, data in found:
@@ -42,6 +42,17 @@ def from_files(spark: SparkSession, root: str) -> DataFrame:
     return files.mapInArrow(expand, "source string, body string").withColumn("ord", F.lit(0).cast("long")).withColumn("is_js", is_script(F.col("source"))).select("source", "ord", "body", "is_js")
 
 
+def from_stdin(spark: SparkSession, text: str) -> DataFrame:
+    """What came by standard input, whole, as one artifact that counts as a script."""
+    return spark.createDataFrame([("stdin", 0, text, True)], ARTIFACT)
+
+
+def listed_targets(spark: SparkSession, path: str | None, given: list[str]) -> DataFrame:
+    """The targets of a list, then those given beside it, in order."""
+    more = spark.createDataFrame([(t,) for t in given], "target string")
+    return more if path is None else targets(spark, path).union(more)
+
+
 def targets(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a target list without blank ones and comments."""
     line = F.btrim(F.col("value"))

@@ -9,14 +9,14 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.plans import registry
+from siftwell.plans import cases, registry
 from siftwell.sources import artifacts, sinks
 from siftwell.streaming import scan_stream
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.001"
 #: One of each kind; the rest runs in the driver's comparison.
-CHECKED = ["findings_ranked", "results_checksum", "page_links", "template_sample", "page_structural_sig", "provider_tokens", "robots_parse", "wildcard_suppression", "method_table", "reflection_context", "page_forms", "link_header"]
+CHECKED = sorted(cases.QUERIES) + ["findings_ranked", "results_checksum", "page_links", "template_sample", "page_structural_sig", "provider_tokens", "robots_parse", "wildcard_suppression", "method_table", "reflection_context", "page_forms", "link_header"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -95,5 +95,5 @@ def test_stream_finds_what_the_batch_finds(spark, tmp_path):
 def test_report(spark, tmp_path):
     m = spark.createDataFrame([("a", "email", "x@y.example", "", "info", 0, 0)], "source string, pattern string, value string, params string, severity string, ord int, line_no int")
     sinks.write_json_lines(m, str(tmp_path / "o"))
-    line = spark.read.json(str(tmp_path / "o")).select("record", "value", F.length("fingerprint").alias("n")).first()
-    assert tuple(line) == ("finding", "x@y.example", 32)
+    line = spark.read.json(str(tmp_path / "o")).select("type", "value", F.length("fingerprint").alias("n")).first()
+    assert tuple(line) == ("match", "x@y.example", 32)
