@@ -5,7 +5,9 @@ Every historical version of a file is addressed by the SHA-256 of its content. T
 appends them, and joins the findings back to every path at which a blob occurs.
 
 Nulls: a null content counts as empty. Empty table: empty result. Repeated rows: scanned once, reported once a row.
-Very long texts are scanned whole. Extra columns of the input are kept out of the way by name.
+Very long texts are scanned whole. Ties: spans that start together go in the rules' order. Extra columns of the input,
+whatever their names, are left out. A null path is a path like others. A failed run may leave pairs in the ledger twice;
+both rows say the same, and compacted() makes them one.
 """
 
 from dataclasses import dataclass
@@ -98,6 +100,11 @@ def _ledger(spark: SparkSession, ledger: str) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
+def compacted(spark: SparkSession, ledger: str, to: str) -> None:
+    """Write the ledger to another path with one row for each pair."""
+    _ledger(spark, ledger).groupBy("blob", "rule").agg(F.first("spans").alias("spans")).write.parquet(to)
+
+
 def joined_spans(rules=RULES):
     """kind:start:end of all rules by start, then in the rules' order, joined by commas."""
     tagged = [_each(r.name, k) for k, r in enumerate(rules)]

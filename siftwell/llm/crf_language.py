@@ -363,9 +363,13 @@ def fitted(docs: DataFrame, doc_id: str, text: str, lang: str, may_learn: Column
     """
     order = F.xxhash64(F.col(doc_id), F.lit(10))
     usable = docs.where(may_learn & F.col(lang).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), order.alias("o"), F.col(text).alias("text"))
+    # hashes are spread evenly, so four times the sample lies below this share of their range: few rows of a language meet
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n"))
+    below = F.lit(-(2.0**63)) + F.lit(2.0**64) * share
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    near = usable.select("lang", "o", "id").join(counts, "lang").where(F.col("o") <= below)
     least = Window.partitionBy("lang").orderBy("o", "id")
-    # the limit of a row number reaches the tasks that read, so each sends at most `sample` rows a language
-    chosen = usable.select("lang", "o", "id").withColumn("at", F.row_number().over(least)).where(F.col("at") <= sample).select("lang", "o", "id").distinct()
+    chosen = near.withColumn("at", F.row_number().over(least)).where(F.col("at") <= sample).select("lang", "o", "id").distinct()
     n = F.length("text")
     begin = F.when(n > passage, F.pmod("o", n - passage + 1)).otherwise(0)
     part = F.substring(F.col("text"), (begin + 1).cast("int"), F.lit(passage)).alias("text")

@@ -8,11 +8,16 @@ source is left, its last fractions are settled (landing phase).
 
 Nulls: a null source is a source of its own, last in order; a null text has size 0. Empty table: empty result.
 Ties and repeated rows are units of their own. Documents of size 0 take 0 words. Reruns agree, whatever the
-partitions: blocks and random steps derive from hashes of doc_id. The table of sources, one row each, is sorted in one
-task; documents never are.
+partitions: blocks and random steps derive from hashes of doc_id, which may be of any type. Very long texts count whole.
+Extra columns, whatever their names, are left out. Sources are numbered range by range, so neither they nor documents
+meet in one task.
+
+The landing draws the last fractions of a source with their own probabilities. What it leaves off the word target is then
+mended by exchanges inside the last block (_swap); they move inclusion probabilities a little, as the README states.
 """
 
 import bisect
+import itertools
 import random
 
 import pyarrow as pa
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import WORD, saved, table
+from ._common import WORD, parts, saved, table
 
 #: Weights of the sources in order, the share of all words to take, and the most copies of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -28,22 +33,40 @@ BLOCK = 512
 EPS = 1e-9
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with `at`, the place of each in the order of code points, null last, from 0.
+
+    Ranges of names are numbered apart and moved on by the number of sources in the ranges before.
+    """
+    placed = sources.repartitionByRange(parts(sources.sparkSession), F.col("source").asc_nulls_last())
+    placed = saved(placed.withColumn("range", F.spark_partition_id()), "sources")
+    counts = sorted(tuple(r) for r in placed.groupBy("range").count().collect())  # one row a task
+    before = dict(zip([r for r, _ in counts], itertools.accumulate([0, *[n for _, n in counts]]), strict=False))
+    starts = F.create_map(*[F.lit(x) for r, n in before.items() for x in (r, n)]) if before else F.create_map(F.lit(0), F.lit(0))
+    within = Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())
+    return placed.withColumn("at", F.row_number().over(within) - 1 + starts[F.col("range")]).drop("range")
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, n, source_size, target) from (source, n, source_size): words shared by weight, none above most times
-    its size, the excess reshared by weight. In order of size per weight, full sources come first; the rest share
-    what is left at one level."""
-    everything = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.array(*[F.lit(float(w)) for w in weights])[(F.row_number().over(by_name) - 1) % len(weights)]
-    s = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    s = s.withColumn("ratio", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("level", (F.sum("source_size").over(everything) * share - before) / rest)
-    full = F.col("ratio") <= F.col("level")
-    level = F.min(F.when(~full, F.struct("ratio", "level"))).over(everything)["level"]
-    return s.select("source", "n", "source_size", F.when(full, F.col("cap")).otherwise(F.col("weight") * level).alias("target"))
+    its size, the excess reshared by weight until none is above. A round is one sum over the sources still below."""
+    weight = F.array(*[F.lit(float(w)) for w in weights])[F.col("at") % len(weights)]
+    s = numbered(sources).withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
+    s = saved(s.drop("at"), "weights")
+    number, size, weight_sum = s.agg(F.count("*"), F.sum("source_size"), F.sum("weight")).first()
+    level, left, full = 0.0, (size or 0) * share, None
+    while number:
+        now = left / weight_sum if weight_sum else level
+        level, above = max(level, now), s.where((F.col("cap") <= F.col("weight") * now))
+        found = above.agg(F.count("*"), F.sum("source_size"), F.sum("weight")).first()
+        if found[0] == full:
+            break
+        full = found[0]
+        total = s.agg(F.sum("weight")).first()[0]
+        left, weight_sum = size * share - (found[1] or 0) * most, total - (found[2] or 0)
+        if full == number:
+            break
+    return s.select("source", "n", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(float(level))).alias("target"))
 
 
 def _flight(sizes: list[int], x: list[float], draw: random.Random, land: bool) -> None:
@@ -75,16 +98,28 @@ def _flight(sizes: list[int], x: list[float], draw: random.Random, land: bool) -
                 scale = max(map(abs, u))
                 move(active, [v / scale for v in u] if scale else [1.0, -1.0, 0.0])
             active = [i for i in active if 0 < x[i] < 1]
-    if land:  # at most four ways to round: the one whose words stay nearest to the target
-        ways = [[]]
-        for _ in active:
-            ways = [w + [v] for w in ways for v in (0.0, 1.0)]
-        best = min(ways, key=lambda w: abs(sum((v - x[i]) * sizes[i] for i, v in zip(active, w, strict=True))))
-        for i, v in zip(active, best, strict=True):
-            x[i] = v
+    if land:
+        _land(sizes, x, active, draw)
         _swap(sizes, start, x)
 
 
+def _land(sizes: list[int], x: list[float], active: list[int], draw: random.Random) -> None:
+    """Settles the last two fractions or one at random, each with its own probability; of the ways to draw two together
+    the one whose words are expected to stay nearer to the target."""
+    if len(active) < 2:
+        for i in active:
+            x[i] = float(draw.random() < x[i])
+        return
+    i, j = active
+    p, q = x[i], x[j]
+    off = [abs((v - p) * sizes[i] + (w - q) * sizes[j]) for v, w in ((0, 0), (0, 1), (1, 0), (1, 1))]
+    # the chance of both may lie between these; the expectation is linear in it
+    both = max(0.0, p + q - 1) if off[0] + off[3] >= off[1] + off[2] else min(p, q)
+    u = draw.random()
+    x[i] = float(u < p)
+    x[j] = float(u < both or p <= u < p + q - both)
+
+
 def _swap(sizes: list[int], start: list[float], x: list[float]) -> None:
     """Exchanges of a taken and a left unit of the last block, as long as one brings the words nearer to the target;
     while they are more than a two-hundredth away, a unit may also come or go without another."""
@@ -123,7 +158,7 @@ def selected(units: DataFrame, block: int = BLOCK) -> DataFrame:
             break
         dealt = _joined(open_, counts)
         blocks = F.ceil(F.coalesce("m", F.lit(1)) / block).cast("int")
-        order = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(level))
+        order = F.xxhash64(F.col("doc_id"), F.lit(level))
         dealt = dealt.select("doc_id", "source", "size", "x", order.alias("order"), F.lit(level).alias("level"), blocks.alias("blocks"))
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("order"), F.col("blocks")).cast("int"))
         moving = dealt.where(undecided).groupBy("source", "block").applyInArrow(_blocks, dealt.schema)

@@ -5,7 +5,9 @@ decode() reads any GIF87a or GIF89a: global and local palettes, interlace, frame
 disposal methods and frame delays, and gives timed RGBA frames. frames() and stored() apply them to DataFrames.
 
 Nulls: a null text counts as empty, whose payload is 64 zero bytes; a null GIF gives no frames. A broken GIF raises
-ValueError with the reason. Empty table: empty result. Equal texts give equal bytes. Memory: one GIF at a time.
+ValueError with the reason, also where a code stream has fewer samples than its image. Empty table: empty result. Repeated
+rows and ties: equal texts give equal bytes. Very long texts are stored whole, in as many frames as they need; memory is
+that of one GIF. Extra columns pass through; those named like a result are replaced.
 """
 
 import hashlib
@@ -214,7 +216,10 @@ def _frames(data: bytes) -> Iterator[Frame]:
         if colours is None:
             raise ValueError("an image without a palette")
         stream, after = _sub_blocks(data, at + 1)
-        flat = np.frombuffer(lzw_decode(stream, data[at], w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        found = lzw_decode(stream, data[at], w * h)
+        if len(found) < w * h:
+            raise ValueError(f"the code stream ends after {len(found)} of {w * h} samples")
+        flat = np.frombuffer(found, np.uint8).reshape(h, w)
         at = after
         if flags & 0x40:
             order = [y for a, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(a, h, step)]
@@ -248,21 +253,23 @@ def histogram(pixels: np.ndarray, channel: int) -> list[int]:
 
 
 def stored(df: DataFrame, text: str) -> DataFrame:
-    """df with n_bytes, the length of the text in UTF-8, and media, its GIF."""
+    """df with n_bytes, the length of the text in UTF-8, and media, its GIF, in place of the text; columns that have these
+    names already are replaced."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                raw = [(x or "").encode() for x in part.column(text).to_pylist()]
+                raw = [(x or "").encode() for x in part.column("text").to_pylist()]
                 media = [encode(x.ljust(max(ROW, -(-len(x) // ROW) * ROW), b"\0")) for x in raw]
-                kept = [part.column(c) for c in part.schema.names if c != text]
+                kept = [part.column(i) for i in inner]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=names)
 
-    kept = [f for f in df.schema.fields if f.name != text]
-    names = [*[f.name for f in kept], "n_bytes", "media"]
-    schema = df.drop(text).withColumns({"n_bytes": F.lit(0).cast("long"), "media": F.lit(b"")}).schema
-    return df.mapInArrow(run, schema)
+    kept = df.drop(text, "n_bytes", "media")
+    names = [*kept.columns, "n_bytes", "media"]
+    inner = [f"_{i}" for i in range(len(kept.columns))]
+    given = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept.columns, inner, strict=True)], F.col(text).alias("text"))
+    return given.mapInArrow(run, kept.withColumns({"n_bytes": F.lit(0).cast("long"), "media": F.lit(b"")}).schema)
 
 
 FRAMES = "frame int, start_ms bigint, delay_ms bigint, disposal int, width int, height int, pixels binary, red array<bigint>, green array<bigint>, blue array<bigint>"

@@ -242,3 +242,15 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
 def op6_itq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT * FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+m AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+c AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, least(v.vec_id, coalesce(m.least, v.vec_id)) AS component_id, coalesce(m.least, v.vec_id) >= v.vec_id AS kept
+FROM v LEFT JOIN c ON c.a = v.vec_id LEFT JOIN m ON m.a = v.vec_id
+"""

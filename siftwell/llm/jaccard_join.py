@@ -175,8 +175,9 @@ def links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     # pairs across components: those of a hub are done
     root = post.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     marked = joined_on(root, hubs.select("token", "m", F.col("a.node").alias("hub")), ["token"], "m", F.col("node")).drop("m").where("node <> hub")
-    mixed = marked.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token", F.col("least").alias("main"))
-    open_ = saved(marked.join(mixed, "token"), "open")
+    marked = saved(marked, "marked")
+    mixed = marked.groupBy("token").agg(F.min("root").alias("main"), F.max("root").alias("most"), F.count("*").alias("m")).where("main <> most").select("token", "main", "m")
+    open_ = saved(joined_on(marked, saved(mixed, "mixed"), ["token"], "m", F.col("node")).drop("m"), "open")
     minor = open_.where("root <> main")
     across = minor.alias("a").join(open_.alias("b"), "token").where("a.root <> b.root").where("b.root = b.main or a.node < b.node").where(_fits(percent))
     across = across.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
@@ -209,3 +210,19 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t),
+s AS (SELECT doc_id, count(*) OVER f AS many, n, string_agg(word, ' ') OVER f AS sh, i FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+d AS (SELECT DISTINCT doc_id, sh FROM s WHERE many = 5 OR (n < 5 AND i = 1)),
+c AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_common FROM d x JOIN d y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * n_common >= 80 * (ca.n + cb.n - n_common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+m AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT t.doc_id, coalesce(c.n, 0) AS n_shingles, least(t.doc_id, coalesce(m.least, t.doc_id)) AS component_id
+FROM t LEFT JOIN c ON c.doc_id = t.doc_id LEFT JOIN m ON m.a = t.doc_id
+"""

@@ -8,7 +8,9 @@ travel is used only where it stands for one text.
 
 Nulls: a null text stays null and has no lines. An empty text is one empty line. Empty table: empty result. Rows that
 agree in doc_id and text are treated alike: they don't remove each other's chunks. A text whose chunks all go becomes
-empty; its row stays. Extra columns pass through untouched. Arrays hold the lines of one text.
+empty; its row stays. Very long texts are cut whole; arrays hold the lines of one text. Ties: of chunks at the same place of
+rows that agree in doc_id and text, both stay. Extra columns pass through untouched, whatever their names; only __lines and
+__removed are replaced.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,14 +69,17 @@ def repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text that stays, and the columns __lines and __removed with numbers of lines."""
-    gone = repeats(docs, doc_id, text).withColumnsRenamed({"__id": "__gid", "__th": "__gth"})
-    same = F.col(doc_id).eqNullSafe(F.col("__gid")) & (F.xxhash64(F.col(text)) == F.col("__gth"))
-    all_ = docs.join(gone, same, "left").withColumn("__chunks", F.when(F.col("__gone").isNotNull(), chunks(F.col(text))))
-    stays = F.filter("__chunks", lambda c, k: ~F.array_contains("__gone", k))
-    lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
-    removed = F.aggregate(F.filter("__chunks", lambda c, k: F.array_contains("__gone", k)), F.lit(0), lambda a, c: a + c["lines"])
-    out = all_.withColumns({"__lines": lines.cast("long"), "__removed": F.coalesce(removed, F.lit(0)).cast("long"), "__kept": F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda c: c["text"]), "\n"))})
-    return out.select(*[F.col("__kept").alias(text) if c == text else F.col(c) for c in docs.columns], "__lines", "__removed")
+    rest = [c for c in docs.columns if c not in ("__lines", "__removed")]
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    gone = repeats(docs, doc_id, text).select(F.col("__id").alias("gid"), F.col("__th").alias("gth"), F.col("__gone").alias("gone"))
+    same = F.col("id").eqNullSafe(F.col("gid")) & (F.xxhash64("text") == F.col("gth"))
+    all_ = row.join(gone, same, "left").withColumn("chunks", F.when(F.col("gone").isNotNull(), chunks(F.col("text"))))
+    stays = F.filter("chunks", lambda c, k: ~F.array_contains("gone", k))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    removed = F.aggregate(F.filter("chunks", lambda c, k: F.array_contains("gone", k)), F.lit(0), lambda a, c: a + c["lines"])
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda c: c["text"]), "\n"))
+    out = all_.select("row", kept.alias("kept"), lines.cast("long").alias("__lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("__removed"))
+    return out.select(*[F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`") for c in rest], "__lines", "__removed")
 
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

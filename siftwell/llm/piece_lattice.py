@@ -13,11 +13,11 @@ scores of the file as they are.
 Nulls: a null text stays null: no pieces, score 0. An empty text has no pieces. Empty table: empty result. Repeated rows
 get equal results. Ties: in an order that depends on the text alone. Texts of any length are read whole: a part that
 is longer than PART characters falls apart where no piece crosses, which loses no segmentation, and what is still longer
-is searched as it is, outside the cache. Decoding gives the text back byte by byte.
+is searched as it is, outside the cache. Decoding gives the text back byte by byte. Extra columns pass through; those named
+ids, nbest or intact are replaced.
 """
 
 import heapq
-import itertools
 import math
 import re
 import struct
@@ -277,12 +277,15 @@ def segmented(v: Vocabulary, text: str, n: int = N_BEST) -> list[tuple[int, byte
     options = []
     for _, i in close:
         options.append(_choices(v, names[i], parts[i], n))
-    ways = sorted(((sum(o[0] for o in way), k) for k, way in enumerate(itertools.product(*options))))[:n]
-    chosen = list(itertools.product(*options))
+    # the n best over some parts need only the n best over the parts before
+    ways: list[tuple[int, tuple[int, ...]]] = [(0, ())]
+    for choices in options:
+        ways = heapq.nsmallest(n, ((loss + c[0], (*picks, j)) for loss, picks in ways for j, c in enumerate(choices)))
     numbers = [p[2] for p in parts]
     out = []
-    for loss, k in ways:
-        changes = [(i, o[1]) for (_, i), o in zip(close, chosen[k], strict=True) if o[1] != numbers[i]]
+    for loss, picks in ways:
+        taken = zip(close, options, picks, strict=True)
+        changes = [(i, c[j][1]) for (_, i), c, j in taken if c[j][1] != numbers[i]]
         own = numbers.copy() if changes else numbers
         for i, x in changes:
             own[i] = x
@@ -313,7 +316,7 @@ def _surface(v: Vocabulary, numbers: bytes) -> bytes:
 
 def encoded(docs: DataFrame, text: str = "text", path: str | None = None, scores: str = "zipf", n: int = N_BEST) -> DataFrame:
     """docs without the text but with ids, the best segmentation's piece numbers; nbest, the scores of the best n, best
-    first; and intact, whether each of them decodes to the text."""
+    first; and intact, whether each of them decodes to the text. Columns that have these names already are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path or default_vocabulary(), scores))
 
     def run(batches):
@@ -322,7 +325,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, scores
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 flat, stops, best, intact = [], [0], [], []
-                for t in part.column(text).to_pylist():
+                for t in part.column("text").to_pylist():
                     ways = segmented(v, t or "", n)
                     numbers = ways[0][1]
                     flat.append(numbers)
@@ -331,13 +334,15 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, scores
                     intact.append((decode(v, numbers) if numbers else "") == (t or "") and all(_surface(v, a) == _surface(v, b) for w in ways for a, b in w[2]))
                 values = pa.Array.from_buffers(pa.int32(), stops[-1], [None, pa.py_buffer(b"".join(flat))])
                 ids = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), values)
-                kept = [part.column(c) for c in names[:-3]]
+                kept = [part.column(i) for i in inner]
                 yield pa.RecordBatch.from_arrays([*kept, ids, pa.array(best, pa.list_(pa.float64())), pa.array(intact)], names=names)
 
-    kept = docs.drop(text)
+    kept = docs.drop(text, "ids", "nbest", "intact")
     schema = StructType([*kept.schema.fields, *StructType.fromDDL("ids array<int>, nbest array<double>, intact boolean").fields])
     names = schema.names
-    return docs.select(*kept.columns, text).mapInArrow(run, schema)
+    inner = [f"_{i}" for i in range(len(kept.columns))]
+    given = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept.columns, inner, strict=True)], F.col(text).alias("text"))
+    return given.mapInArrow(run, schema)
 
 
 def op7_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

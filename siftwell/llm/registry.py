@@ -18,4 +18,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_blob_ledger": blob_ledger.OP2_SQL,
     "op4_line_chunks": line_chunks.OP4_SQL,
+    "op6_itq_neighbours": itq_neighbours.OP6_SQL,
+    "op8_jaccard_join": jaccard_join.OP8_SQL,
+    "op9_recompression": recompression.OP9_SQL,
 }

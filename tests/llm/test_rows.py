@@ -139,6 +139,52 @@ def test_gif_errors():
         list(gif.decode(gif.encode(b"x" * 64)[:-20]))
 
 
+def plain_lzw(stream, least):
+    """A reader of one code at a time, from the format's description."""
+    bits = "".join(f"{b:08b}"[::-1] for b in stream)
+    clear, at, width, out, known, before = 1 << least, 0, least + 1, b"", {}, None
+    while True:
+        code, at = int(bits[at : at + width][::-1], 2), at + width
+        if code == clear:
+            known, width, before = {i: bytes([i]) for i in range(clear)}, least + 1, None
+            continue
+        if code == clear + 1:
+            return out
+        now = known[code] if before is None or code in known else before + before[:1]
+        if before is not None and len(known) + 2 < 4096:
+            known[len(known) + 2] = before + now[:1]
+        out, before = out + now, now
+        if len(known) + 2 == 1 << width and width < 12:
+            width += 1
+
+
+@pytest.mark.parametrize("data", [b"\0" * 64, bytes(range(256)) * 3, os.urandom(9000), b"ab" * 4000, b"\0" * 30000])
+def test_code_streams_read_by_another_reader(data):
+    assert plain_lzw(gif.lzw_encode(data), 8) == data
+
+
+def test_a_short_code_stream_is_an_error():
+    whole = image(8, 8, 0, 0, [1] * 64)
+    short = image(8, 8, 0, 0, [1] * 40)
+    head = b"GIF89a" + (8).to_bytes(2, "little") * 2 + bytes([0x81, 0, 0]) + bytes(12)
+    assert len(list(gif.decode(head + whole + b"\x3b"))) == 1
+    with pytest.raises(ValueError, match="40 of 64"):
+        list(gif.decode(head + short + b"\x3b"))
+
+
+def test_results_beside_columns_of_the_same_names(docs, pairs):
+    rows = docs.withColumnRenamed("batch", "media").withColumnRenamed("score", "n_bytes").withColumnRenamed("kept", "ids")
+    got = gif.stored(rows, "text")
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "ids", "n_bytes", "media"]
+    assert {r.doc_id: r.n_bytes for r in got.collect()} == {i: len((t or "").encode()) for i, t, _, _ in pairs}
+    got = piece_lattice.encoded(rows)
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "media", "n_bytes", "ids", "nbest", "intact"]
+    assert got.where("intact").count() == len(pairs)
+    got = line_chunks.deduped(docs.withColumns({"__id": docs.doc_id, "__gone": docs.text, "__removed": docs.text, "gid": docs.text}))
+    assert got.columns == [*docs.columns, "__id", "__gone", "gid", "__lines", "__removed"]
+    assert got.where("__id is distinct from doc_id").count() == 0
+
+
 def test_media_columns(docs, pairs, empty):
     got = {r.doc_id: r for r in gif.stored(docs.select("doc_id", "text"), "text").collect()}
     for i, t, _, _ in pairs:
@@ -222,6 +268,12 @@ def test_n_best_are_the_best_of_all(vocabulary, text):
     assert all(piece_lattice.decode(vocabulary, w[1]) == text for w in ways)
 
 
+def test_eight_best_over_many_parts(vocabulary):
+    text = " ".join(["the information inside", "unbelievable things", "another wonderful morning", "somewhere between"] * 4)
+    ways = piece_lattice.segmented(vocabulary, text, 8)
+    assert [w[0] for w in ways] == best_of_all(vocabulary, text, 8) and len({w[1] for w in ways}) == 8
+
+
 def best_of_all(v, text, n):
     """The n best scores, from the n best of every shorter beginning."""
     s = piece_lattice.SPACE + text.replace(" ", piece_lattice.SPACE)
@@ -352,3 +404,41 @@ def test_language_beside_columns_of_the_same_names(spark, docs):
     got = crf_language.predicted(rows, model)
     assert got.columns == [c for c in rows.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"]
     assert {r.lang_pred for r in got.collect()} <= {"en", "de", "und"}
+
+
+def test_landing_keeps_the_probabilities_of_the_last_units():
+    import random
+
+    seen = np.zeros((3000, 2))
+    for k in range(3000):
+        x = [0.3, 0.8, 1.0]
+        cube._land([50, 20, 7], x, [0, 1], random.Random(k))
+        seen[k] = x[:2]
+    assert np.abs(seen.mean(0) - [0.3, 0.8]).max() < 0.03
+
+
+def test_mix_of_ids_that_are_no_numbers(docs):
+    named = docs.selectExpr("'d' || doc_id as doc_id", "source", "text")
+    assert cube.mixed(named).count() == docs.count()
+
+
+def test_sources_are_numbered_across_ranges(spark):
+    names = [f"s{i:03}" for i in range(500)] + [None]
+    rows = spark.createDataFrame([(n, 1, 10) for n in names[::-1]], "source string, n long, source_size long")
+    assert [r.source for r in cube.numbered(rows).orderBy("at").collect()] == names
+    assert [r[0] for r in cube.numbered(rows).select("at").orderBy("at").collect()] == list(range(501))
+
+
+def test_a_compacted_ledger_has_each_pair_once(spark):
+    ledger, to = fresh(spark, "ledger"), fresh(spark, "ledger")
+    rows = spark.createDataFrame([("b1", "hex@1", [(0, 4)]), ("b2", "hex@1", [])], blob_ledger.LEDGER)
+    rows.write.parquet(ledger)
+    rows.write.mode("append").parquet(ledger)
+    blob_ledger.compacted(spark, ledger, to)
+    assert spark.read.parquet(ledger).count() == 4 and spark.read.parquet(to).count() == 2
+
+
+def test_spans_of_null_paths_and_versions(spark):
+    docs = spark.createDataFrame([(None, "AKIA" + "B" * 16), (1, None)], "path long, content string")
+    got = {r.path: r for r in blob_ledger.update(spark, docs, fresh(spark, "ledger")).collect()}
+    assert len(got[None].access) == 1 and got[1].access == []
