@@ -6,9 +6,10 @@ probe_id, source_kind, source_name, discovered, transform, stack, url and messag
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import urls, verdicts
-from .reduce import severity_rank
+from .reduce import first_per_class, severity_rank
 
 #: Source and sink families, names for several, and ranks of confidence.
 SOURCES = ("url_query", "url_fragment", "referrer", "window_name", "form_input", "cookie", "local_storage", "session_storage", "web_message")
@@ -312,3 +313,60 @@ def sink_context(sink: Column) -> Column:
     for k, v in CONTEXTS.items():
         out = F.when(sink == k, v).otherwise(out)
     return out
+
+
+def probe_plan(pages: DataFrame, hints: DataFrame, sources: list[str] | None = None, most: int = 1000, per_page: int = 100) -> DataFrame:
+    """(url, kind, name, place): which inputs of which pages a scan would mark, at most so many; a plan, nothing is sent.
+
+    Of a page first the names in its own query, then those that hints (scope, kind, name) of its host give, then the inputs
+    without a name; of each source family that is chosen.
+    """
+    chosen = list(SOURCES) if sources is None else sources
+    plain = lambda h: F.regexp_replace(F.lower(h), r"^www\.", "")
+    own = pages.select("url", F.explode(query_names(F.col("url"))).alias("name")).select("url", F.lit(0).alias("order"), F.lit("url_query").alias("kind"), "name")
+    keyed = hints.select(plain(F.col("scope")).alias("h"), "kind", "name").distinct()
+    hinted = pages.select("url", plain(urls.host(F.col("url"))).alias("h")).join(keyed, "h").select("url", F.lit(1).alias("order"), "kind", "name")
+    bare = pages.select("url", F.explode(F.array(*[F.lit(s) for s in ("url_fragment", "referrer", "window_name")])).alias("kind")).select("url", F.lit(2).alias("order"), "kind", F.lit("").alias("name"))
+    every = own.union(hinted).union(bare).where(F.col("kind").isin(*chosen)).groupBy("url", "kind", "name").agg(F.min("order").alias("order"))
+    placed = first_per_class(every, ["url"], ["order", "kind", "name"], per_page)
+    return placed.orderBy("url", "rank").limit(most).select("url", "kind", "name", F.col("rank").cast("long").alias("place"))
+
+
+def reflection_plan(routes: DataFrame, names: DataFrame, per_request: int = 25) -> DataFrame:
+    """(url, batch, names): the parameters (scope, name) that each request of a reflection scan would try, so many at once, the
+    control name `(any)` with each; a plan, nothing is sent."""
+    plain = lambda h: F.regexp_replace(F.lower(h), r"^www\.", "")
+    own = routes.select("url", F.explode(query_names(F.col("url"))).alias("name"))
+    hinted = routes.select("url", plain(urls.host(F.col("url"))).alias("h")).join(names.select(plain(F.col("scope")).alias("h"), "name"), "h").select("url", "name")
+    each = own.union(hinted).distinct()
+    placed = each.withColumn("at", F.row_number().over(Window.partitionBy("url").orderBy("name")) - 1)
+    batch = F.floor(F.col("at") / per_request).cast("int")
+    return placed.groupBy("url", batch.alias("batch")).agg(F.concat(F.array_sort(F.collect_list("name")), F.array(F.lit("(any)"))).alias("names"))
+
+
+def _strength(context: Column, chars: Column) -> Column:
+    return severity_rank(verdicts.reflection_verdict(context, chars)["severity"]) * 100 + F.size(chars)
+
+
+def chosen_reflections(found: DataFrame, control: DataFrame) -> DataFrame:
+    """(route, param, n, context, unfiltered, severity, confidence, verdict) of the strongest occurrence of each parameter
+    (route, param, n, context, unfiltered) that the control of its route (route, context, unfiltered) does not show as well.
+
+    A context of the control counts with all the characters that came back there. Where the control itself reflects with a
+    medium severity or more, the route has a row for the parameter `(any)`.
+    """
+    shown = control.groupBy("route", "context").agg(F.array_distinct(F.flatten(F.collect_set("unfiltered"))).alias("shown"))
+    met = found.join(shown, ["route", "context"], "left")
+    open_ = met.where(F.col("shown").isNull() | (F.size(F.array_except("unfiltered", "shown")) > 0)).drop("shown")
+    echo = control.withColumn("n", F.row_number().over(Window.partitionBy("route").orderBy("context", "unfiltered"))).select("route", F.lit("(any)").alias("param"), "n", "context", "unfiltered")
+    strong = severity_rank(verdicts.reflection_verdict(F.col("context"), F.col("unfiltered"))["severity"]) >= severity_rank(F.lit("medium"))
+    each = open_.select(echo.columns).unionByName(echo.where(strong))
+    best = F.max_by(F.struct("n", "context", "unfiltered"), F.struct(_strength(F.col("context"), F.col("unfiltered")), -F.col("n")))
+    out = each.groupBy("route", "param").agg(best.alias("o")).select("route", "param", "o.*")
+    return out.select("*", verdicts.reflection_verdict(F.col("context"), F.col("unfiltered")).alias("v")).select(*out.columns, "v.severity", "v.confidence", "v.verdict")
+
+
+def suppressed_echoes(found: DataFrame, control: DataFrame) -> DataFrame:
+    """(route, n): how many parameters of a route reflect nothing beyond its control."""
+    kept = chosen_reflections(found, control).select("route", "param")
+    return found.select("route", "param").distinct().join(kept, ["route", "param"], "left_anti").groupBy("route").agg(F.count("*").alias("n"))

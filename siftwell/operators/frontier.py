@@ -62,8 +62,18 @@ def best(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def replay_plan(params: DataFrame, levels: DataFrame, most: int = 500) -> DataFrame:
-    """Which parameters would meet which levels of their origin, in order, at most so many; a plan only."""
-    return params.join(levels, "origin").distinct().orderBy("origin", "level", "params").limit(most)
+    """(origin, level, params): which parameters would meet which levels of their origin, at most so many; a plan, never sent.
+
+    params and levels have the step at which each was met. Pairs come in the order of the later step of the two; of one step
+    new parameters meet the older levels first. Only the first `most` parameters and levels of an origin can be in the plan,
+    so no origin makes more than their product.
+    """
+    first = lambda rows, c: first_per_class(rows.groupBy("origin", c).agg(F.min("step").alias("step")), ["origin"], ["step", c], most).select("origin", c, "step", "rank")
+    p, lv = first(params.select("origin", F.btrim("params", F.lit(" \t\n\r\f\x0b")).alias("params"), "step").where("params <> ''"), "params"), first(levels, "level")
+    both = p.withColumnsRenamed({"step": "ps", "rank": "pr"}).join(lv.withColumnsRenamed({"step": "ls", "rank": "lr"}), "origin")
+    late = F.greatest("ps", "ls")
+    order = ["origin", late, F.col("ls") >= F.col("ps"), F.when(F.col("ls") >= F.col("ps"), F.col("lr")).otherwise(F.col("pr")), F.when(F.col("ls") >= F.col("ps"), F.col("pr")).otherwise(F.col("lr"))]
+    return both.orderBy(*order).limit(most).select("origin", "level", "params")
 
 
 def reached(spark, edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:

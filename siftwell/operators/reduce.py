@@ -114,5 +114,5 @@ def first_per_class(rows: DataFrame, key: list[str], order: list, k: int) -> Dat
 
 def hints(rows: DataFrame) -> DataFrame:
     """Source hints merged by scope, kind and name; only the four kinds, their provenance joined and sorted."""
-    kept = rows.where(F.col("kind").isin("query", "localStorage", "sessionStorage", "cookie"))
+    kept = rows.where(F.col("kind").isin("url_query", "local_storage", "session_storage", "cookie"))
     return kept.groupBy("scope", "kind", "name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("provenance")))).alias("provenance"))

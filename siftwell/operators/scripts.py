@@ -4,6 +4,7 @@ These walk balanced brackets, which no regular expression does; each takes whole
 """
 
 import re
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,22 +40,67 @@ def balanced(text: str, start: int) -> str:
     return text[start:i].strip()
 
 
-_HINTS = (
-    ("query", "URLSearchParams", re.compile(r"""(?:searchParams|URLSearchParams\([^)]*\)|\bparams)\.(?:get|getAll|has)\(\s*["'`]([^"'`]+)["'`]""")),
-    ("query", "router.query", re.compile(r"""\brouter\.query\.([A-Za-z_$][\w$]*)""")),
-    ("localStorage", "localStorage", re.compile(r"""\blocalStorage\.(?:getItem|setItem)\(\s*["'`]([^"'`]+)["'`]""")),
-    ("sessionStorage", "sessionStorage", re.compile(r"""\bsessionStorage\.(?:getItem|setItem)\(\s*["'`]([^"'`]+)["'`]""")),
-    ("cookie", "Cookies", re.compile(r"""\bCookies\.(?:get|set)\(\s*["'`]([^"'`]+)["'`]""")),
+#: Where a script names an input, by kind: addresses, reads of parameters, storage and cookies, bodies.
+_Q, _WORD = "[\"'`]", r"[A-Za-z_$][A-Za-z0-9_$]*"
+IN_QUERY = re.compile(r"[?&]([A-Za-z_$][A-Za-z0-9_$@.\-\[\]]{0,127})=")
+PARAM_READ = re.compile(rf"(?i)\b({_WORD})\s*\.\s*(?:get|getAll|has)\s*\(\s*{_Q}([A-Za-z_$][A-Za-z0-9_$@.\-\[\]]{{0,127}}){_Q}")
+PARAM_NAMES = (re.compile(rf"(?i)\b(?:const|let|var)\s+({_WORD})\s*=\s*(?:new\s+URLSearchParams\b|[^;\n]{{0,120}}\buseSearchParams\s*\()"), re.compile(rf"(?i)\b(?:const|let|var)\s*\[\s*({_WORD})[^\]]*\]\s*=\s*\buseSearchParams\s*\("))
+ROUTED = (
+    re.compile(r"(?i)\b(?:router|route|searchParams|queryParams)\s*\.\s*(?:query\s*\.\s*)?([A-Za-z_$][A-Za-z0-9_$@.\-]{0,127})"),
+    re.compile(rf"(?i)\b(?:router|route|searchParams|queryParams)(?:\s*\.\s*query)?\s*\[\s*{_Q}([A-Za-z_$][A-Za-z0-9_$@.\-\[\]]{{0,127}}){_Q}\s*\]"),
 )
+STORED = tuple((kind, re.compile(rf"(?i)\b(?:window\s*\.\s*)?{name}\s*(?:\.\s*(?:getItem|setItem|removeItem)\s*\(\s*|\[\s*){_Q}([^\"'`]{{1,128}}){_Q}")) for kind, name in (("local_storage", "localStorage"), ("session_storage", "sessionStorage")))
+COOKIE_READ = re.compile(rf"(?i)\b(?:Cookies|cookieStore)\s*\.\s*(?:get|has)\s*\(\s*{_Q}([^\"'`]{{1,128}}){_Q}")
+JSON_BODY = re.compile(r"(?is)\bJSON\s*\.\s*stringify\s*\(\s*\{([^{}]{0,1000})\}\s*\)")
+BODY_KEY = re.compile(rf"(?i)\b(?:formData|body|payload|params)\s*\.\s*(?:append|set)\s*\(\s*{_Q}([^\"'`]{{1,128}}){_Q}")
+OBJECT_KEY = re.compile(r"""(?:^|[{,]\s*)(?:["']([^"']{1,128})["']|([A-Za-z_$][A-Za-z0-9_$@.\-]{0,127}))\s*:""")
+URL_HINT, ACCESS_HINT, REQUEST_HINT = "javascript_url", "javascript_access", "javascript_request"
+LONGEST_EXPRESSION = 16 << 10
+
+#: A body without any of these names no input.
+MAY_HINT = r"(?i)[?&][A-Za-z_$][^=\s]{0,127}=|\.\s*(?:get|getAll|has)\s*\(|router|route\b|searchParams|queryParams|Storage|JSON\s*\.\s*stringify|\.\s*(?:append|set)\s*\("
+
+
+def expression_names(raw: str) -> list[str]:
+    """Sorted names of parameters in a body's expression, its first 16 KiB: of a query, and keys of objects."""
+    text = raw.strip()[:LONGEST_EXPRESSION]
+    found = set(IN_QUERY.findall("?" + text.removeprefix("?"))) | {a or b for a, b in OBJECT_KEY.findall(text)} if text else set()
+    return sorted(x for x in found if valid_hint(x))
+
+
+def query_names(url: str) -> list[str]:
+    """Sorted names in the query of an address."""
+    query = url.strip().partition("#")[0].partition("?")[2]
+    names = {unquote_plus(x.split("=", 1)[0]) for x in query.split("&") if x and ";" not in x}
+    return sorted(x for x in names if valid_hint(x))
 
 
 def source_hints(text: str) -> list[tuple[str, str, str]]:
     """Distinct (kind, name, provenance) of the inputs that a script reads."""
-    out = {(kind, m[1], where): None for kind, where, p in _HINTS for m in p.finditer(text)}
-    for m in re.finditer(r"JSON\.stringify\(\s*\{", text):
-        for name in re.findall(r"""(?:^\{|,)\s*["']?([A-Za-z_$][\w$]*)["']?\s*(?=[:,}])""", balanced(text, m.end() - 1)):
-            out["query", name, "JSON body"] = None
-    return [k for k in out if valid_hint(k[1])]
+    from .posts import post_requests
+
+    out: dict[tuple[str, str, str], None] = {}
+
+    def add(kind: str, names, where: str) -> None:
+        out.update(dict.fromkeys((kind, n, where) for n in names if valid_hint(n)))
+
+    readers = {"searchparams", "urlsearchparams", "queryparams"} | {x.lower() for p in PARAM_NAMES for x in p.findall(text)}
+    reads = [name for who, name in PARAM_READ.findall(text) if who.lower() in readers or any(w in who.lower() for w in ("search", "query", "param"))]
+    add("url_query", IN_QUERY.findall(text), URL_HINT)
+    add("url_query", reads + [x for p in ROUTED for x in p.findall(text) if x.lower() not in ("query", "get", "has")], ACCESS_HINT)
+    for kind, p in STORED:
+        add(kind, p.findall(text), ACCESS_HINT)
+    add("cookie", COOKIE_READ.findall(text), ACCESS_HINT)
+    add("url_query", [n for x in JSON_BODY.findall(text) for n in expression_names(x)] + BODY_KEY.findall(text), REQUEST_HINT)
+    for url, params in post_requests(text):
+        add("url_query", query_names(url), URL_HINT)
+        add("url_query", expression_names(params), REQUEST_HINT)
+    return list(out)
+
+
+def scan_hints(artifacts: DataFrame, body: str = "body") -> DataFrame:
+    """(source, kind, name, provenance) of script artifacts."""
+    return explode_with(artifacts.where(F.col("is_js") & F.col(body).rlike(MAY_HINT)), "source", body, source_hints, "kind string, name string, provenance string")
 
 
 def valid_hint(name: str) -> bool:

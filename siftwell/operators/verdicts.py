@@ -37,10 +37,13 @@ def structural_cap(pages: DataFrame, host: str, body: str, order: str, k: int =
     return first_per_class(pages.withColumn("signature", structural_signature(F.col(body))), [host, "signature"], [order], k)
 
 
-def catch_all(control: DataFrame) -> DataFrame:
-    """(level, shape, signature) that two control responses and more share: what a level answers to anything."""
+def catch_all(control: DataFrame, keys: tuple[str, ...] = ("level", "shape"), least: int = 2) -> DataFrame:
+    """(*keys, signature) that so many control responses and more share: what a place answers to anything.
+
+    The keys tell what is learned: a level, a level and the shape of the name, a level and a method, or all three.
+    """
     signed = control.withColumn("signature", page_signature(F.col("status"), F.col("body")))
-    return signed.groupBy("level", "shape", "signature").count().where("count >= 2").drop("count")
+    return signed.groupBy(*keys, "signature").count().where(F.col("count") >= least).drop("count")
 
 
 def not_catch_all(pages: DataFrame, learned: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 import base64
 import gzip
 import hashlib
+import io
 import uuid
+import zipfile
 
 from pyspark.sql import functions as F
 
-from ..operators import crawl, dom, findings, frontier, headers, literals, posts, responses, rules, scan, scripts, urls
+from ..operators import crawl, dom, findings, frontier, headers, literals, posts, responses, rules, scan, scripts, urls, verdicts
 from ..operators.scripts import explode_with
 from ..sources import artifacts, sinks
 from ._book import Book, Inline
@@ -603,3 +605,238 @@ def banner_line(spark, sf_dir):
     return spark.createDataFrame([(sinks.banner("1"),)], "value string")
 
 
+
+
+# ---- inputs of scripts, plans
+INPUTS = texts("id int, body string",
+    (1, "const q = new URLSearchParams(location.search); q.get('next'); other.get('no'); u='/x?tab=1&page=2'"), (2, "router.query.section; route['id']; router.get('z')"), (3, "window.localStorage.getItem('jwt'); sessionStorage['s1']; Cookies.get('sid')"),
+    (4, "fetch('/f?k=1', {method:'POST', body: JSON.stringify({user: 1, 'pass word': 2, ok: 3})}); formData.append('file', f)"), (5, "nothing"),
+)
+
+
+@B.add("source_hints", rows("source string, kind string, name string, provenance string",
+    ("1.js", "url_query", "tab", "javascript_url"), ("1.js", "url_query", "page", "javascript_url"), ("1.js", "url_query", "next", "javascript_access"), ("2.js", "url_query", "section", "javascript_access"), ("2.js", "url_query", "id", "javascript_access"),
+    ("3.js", "local_storage", "jwt", "javascript_access"), ("3.js", "session_storage", "s1", "javascript_access"), ("3.js", "cookie", "sid", "javascript_access"),
+    ("4.js", "url_query", "k", "javascript_url"), ("4.js", "url_query", "user", "javascript_request"), ("4.js", "url_query", "ok", "javascript_request"), ("4.js", "url_query", "file", "javascript_request"),
+))
+def source_hints(spark, sf_dir):
+    art = INPUTS.df(spark).select(F.concat(F.col("id").cast("string"), F.lit(".js")).alias("source"), "body", F.lit(True).alias("is_js"))
+    return scripts.scan_hints(art)
+
+
+@B.add("expression_names", rows("id int, names string", (1, "a,b"), (2, "x,y"), (3, "")))
+def expression_names(spark, sf_dir):
+    given = texts("id int, body string", (1, "a=1&b=2"), (2, "{x: 1, \"y\": {z z}}"), (3, "  "))
+    return explode_with(given.df(spark), "id", "body", lambda b: [(",".join(scripts.expression_names(b)),)], "names string")
+
+
+@B.add("balanced_expressions", rows("id int, expression string", (1, "{a: '}', b: [1, (2)]}"), (2, "f(x, y)"), (3, "`a)b`")))
+def balanced_expressions(spark, sf_dir):
+    given = texts("id int, body string", (1, "{a: '}', b: [1, (2)]}, rest)"), (2, "f(x, y), z"), (3, "`a)b`) tail"))
+    return explode_with(given.df(spark), "id", "body", lambda b: [(scripts.balanced(b, 0),)], "expression string")
+
+
+@B.add("replay_plan", rows("origin string, level string, params string", ("o", "/", "a"), ("o", "/x/", "a"), ("o", "/", "b"), ("o", "/x/", "b"), ("o", "/y/", "a"), ("o", "/y/", "b")))
+def replay_plan(spark, sf_dir):
+    params = spark.createDataFrame([("o", " a ", 1), ("o", "b", 2), ("o", "", 1), ("o", "a", 3), ("p", "c", 1)], "origin string, params string, step int")
+    levels = spark.createDataFrame([("o", "/", 1), ("o", "/x/", 1), ("o", "/y/", 2), ("o", "/x/", 3), ("o", "/z/", 9)], "origin string, level string, step int")
+    return frontier.replay_plan(params, levels, 6)
+
+
+@B.add("probe_plan", rows("url string, kind string, name string, place int",
+    ("https://a.test/p?q=1", "url_query", "q", 1), ("https://a.test/p?q=1", "cookie", "c", 2), ("https://a.test/p?q=1", "url_query", "z", 3), ("https://a.test/p?q=1", "window_name", "", 4), ("https://b.test/", "window_name", "", 1),
+))
+def probe_plan(spark, sf_dir):
+    pages = spark.createDataFrame([("https://a.test/p?q=1",), ("https://b.test/",)], "url string")
+    hints = spark.createDataFrame([("www.a.test", "url_query", "z"), ("a.test", "cookie", "c"), ("a.test", "url_query", "q")], "scope string, kind string, name string")
+    return dom.probe_plan(pages, hints, ["url_query", "cookie", "window_name"]).withColumn("place", F.col("place").cast("int"))
+
+
+@B.add("reflection_plan", rows("url string, batch int, names string", ("https://a.test/x?b=1", 0, "a,b,(any)"), ("https://a.test/x?b=1", 1, "c,(any)")))
+def reflection_plan(spark, sf_dir):
+    routes = spark.createDataFrame([("https://a.test/x?b=1",), ("https://c.test/",)], "url string")
+    names = spark.createDataFrame([("a.test", "a"), ("A.test", "c"), ("a.test", "b")], "scope string, name string")
+    return dom.reflection_plan(routes, names, 2).withColumn("names", F.array_join("names", ","))
+
+
+@B.add("catch_all_learners", rows("learner string, place string, signature string", ("level", "/a/", "404|2|1"), ("level+method", "/a/ GET", "404|2|1"), ("level+shape", "/a/ x", "404|2|1"), ("level", "/b/", "200|1|1")))
+def catch_all_learners(spark, sf_dir):
+    given = [("/a/", "x", "GET", 404, "not found"), ("/a/", "x", "GET", 404, "no page"), ("/a/", "y", "POST", 404, "gone now"), ("/a/", "y", "POST", 500, "oops"), ("/b/", "x", "GET", 200, "hi"), ("/b/", "y", "POST", 200, "ho")]
+    control = spark.createDataFrame(given, "level string, shape string, method string, status int, body string")
+    out = None
+    for name, keys in (("level", ("level",)), ("level+method", ("level", "method")), ("level+shape", ("level", "shape"))):
+        part = verdicts.catch_all(control, keys).select(F.lit(name).alias("learner"), F.concat_ws(" ", *keys).alias("place"), "signature")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@B.add("interesting_messages", rows("id int", (1,), (2,), (3,), (5,)))
+def interesting_messages(spark, sf_dir):
+    given = [(1, "web_message", 1, False, False), (2, "web_message", 0, True, False), (3, "web_message", 0, False, True), (4, "web_message", 0, False, False), (5, "dom_flow", 0, False, False)]
+    return verdicts.interesting_messages(spark.createDataFrame(given, "id int, kind string, listener_count int, reaches_sink boolean, cross_origin boolean")).select("id")
+
+
+# ---- rules of one's own
+@B.add("entropy_rule", rows("source string, value string, severity string", ("a", "aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW", "high")))
+def entropy_rule(spark, sf_dir):
+    art = spark.createDataFrame([("a", 0, "x aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW y " + "a" * 40), ("b", 1, "short Ab1")], "source string, ord long, body string")
+    return scan.entropy_matches(art).select("source", "value", "severity")
+
+
+@B.add("registered_rule", rows("pattern string, value string, severity string", ("ticket", "T-123", "low")))
+def registered_rule(spark, sf_dir):
+    rules.register(rules.Rule("ticket", r"T-[0-9]{3}", "low"))
+    art = spark.createDataFrame([("a", 0, "see T-123 and T-12")], "source string, ord long, body string")
+    return scan.scan(art, [r for r in rules.active_rules() if r.name == "ticket"]).select("pattern", "value", "severity")
+
+
+@B.add("rule_file", rows("name string, pattern string, severity string", ("one", "a+:b", "info"), ("two", "c", "info")))
+def rule_file(spark, sf_dir):
+    return spark.createDataFrame([(r.name, r.pattern, r.severity) for r in rules.parse_rules("# own rules\none: 'a+:b'\n\ntwo: c\n")], "name string, pattern string, severity string")
+
+
+@B.add("fail_threshold", rows("least string, fails boolean", ("high", False), ("medium", True), ("info", True)))
+def fail_threshold(spark, sf_dir):
+    from ..operators.reduce import fails
+
+    m = REPORTED.df(spark).where("pattern <> 'gathered_url'")
+    return spark.createDataFrame([(x, fails(m, x)) for x in ("high", "medium", "info")], "least string, fails boolean")
+
+
+@B.add("short_params", rows("id int, short string", (1, "a b"), (2, "x" * 97 + "..."), (3, "x" * 100)))
+def short_params(spark, sf_dir):
+    from ..operators.reduce import short_params as short
+
+    return texts("id int, params string", (1, "a \n\t b"), (2, "x" * 101), (3, "x" * 100)).df(spark).select("id", short(F.col("params")).alias("short"))
+
+
+@B.add("normalized_urls", rows("url string, value string", ("https://a.test/x?y#z", "https://a.test/x?y"), ("https://a.test/#", "https://a.test/")))
+def normalized_urls(spark, sf_dir):
+    return texts("url string", "https://a.test/x?y#z", "https://a.test/#").df(spark).select("url", urls.without_fragment(F.col("url")).alias("value"))
+
+
+@B.add("bounded_permutations", rows("n int", (68,)))
+def bounded_permutations(spark, sf_dir):
+    given = spark.createDataFrame([(f"https://x.test/d{i}/f{j}.js",) for i in range(10) for j in range(5)], "url string")
+    return frontier.permuted(given, given, 1).agg(F.count("*").cast("int").alias("n"))
+
+
+# ---- files
+def put(spark, path: str, data: bytes) -> None:
+    """A file in any file system that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def _files(spark) -> str:
+    root, packed = folder(spark), io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("in/m.js", "var a='zip@corp.example.org'")
+        z.writestr("in/n.png", "no@corp.example.org")
+    for name, data in (("a/app.js", b"x='one@corp.example.org'"), ("b/page.HTML", b"two@corp.example.org"), ("skip.txt", b"no@corp.example.org"), ("lib.jar", packed.getvalue())):
+        put(spark, f"{root}/{name}", data)
+    return root
+
+
+@B.add("files_walked", rows("name string, is_js boolean", ("app.js", True), ("page.HTML", False), ("lib.jar:in/m.js", True)))
+def files_walked(spark, sf_dir):
+    return artifacts.from_files(spark, _files(spark)).select(F.regexp_replace("source", "^.*/cases-[0-9a-f]+/", "").alias("name"), "is_js")
+
+
+@B.add("directory_scan", rows("pattern string, value string", ("email", "one@corp.example.org"), ("email", "two@corp.example.org"), ("email", "zip@corp.example.org")))
+def directory_scan(spark, sf_dir):
+    return findings.scan_rules(artifacts.from_files(spark, _files(spark)), EMAIL).select("pattern", "value")
+
+
+@B.add("stdin_artifact", rows("source string, pattern string, value string", ("stdin", "endpoint_path", "/v1/std/in"), ("stdin", "email", "in@corp.example.org")))
+def stdin_artifact(spark, sf_dir):
+    return findings.scan_with_endpoints(artifacts.from_stdin(spark, "fetch('/v1/std/in') // in@corp.example.org"), EMAIL).select("source", "pattern", "value")
+
+
+@B.add("target_lists", rows("target string", ("https://a.test",), ("b.js",), ("-",)))
+def target_lists(spark, sf_dir):
+    path = f"{folder(spark)}/targets"
+    put(spark, path, b"# list\n\n https://a.test \nb.js\n")
+    return artifacts.listed_targets(spark, path, ["-"])
+
+
+@B.add("stream_findings", rows("pattern string, value string", ("email", "s1@corp.example.org"), ("email", "s2@corp.example.org")))
+def stream_findings(spark, sf_dir):
+    from ..streaming import scan_stream
+
+    root = folder(spark)
+    spark.createDataFrame([("a", 0, "s1@corp.example.org\ns2@corp.example.org"), ("b", 1, "s1@corp.example.org")], "source string, ord long, body string").write.parquet(f"{root}/in")
+    stream = scan_stream.responses(spark, f"{root}/in", "source string, ord long, body string")
+    scan_stream.run(stream, f"{root}/out", f"{root}/check").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("pattern", "value").distinct()
+
+
+@B.add("written_report", rows("value string", ('{"type":"match","value":"tok"}',), ('{"type":"match","value":"a<b@x.test"}',)))
+def written_report(spark, sf_dir):
+    path = f"{folder(spark)}/report"
+    sinks.write_report(path, REPORTED.df(spark).where("pattern <> 'gathered_url'"), "T")
+    return spark.read.json(f"{path}/1-matches").select(F.to_json(F.struct("type", "value")).alias("value"))
+
+
+@B.add("report_digest", rows("same boolean", (True,)))
+def report_digest(spark, sf_dir):
+    from ..operators.reduce import order_free_digest
+
+    a, b = (order_free_digest(REPORTED.df(spark).orderBy(F.col("ord") * k)) for k in (1, -1))
+    return a.join(b, ["n", "left", "right"]).select((F.col("n") == 3).alias("same"))
+
+
+OCCURRED = [("/r", "a", 0, "html_text", ["<"]), ("/r", "a", 1, "script", []), ("/r", "a", 2, "html_text", ["<", ">"]), ("/r", "b", 0, "html_attr", ["'"]), ("/r", "c", 0, "script", ["'"]), ("/s", "a", 0, "html_comment", [])]
+CONTROL = [("/r", "html_attr", ["'"]), ("/r", "html_attr", ['"']), ("/r", "html_text", ["<"]), ("/t", "html_text", [])]
+
+
+def _occurred(spark):
+    return spark.createDataFrame(OCCURRED, "route string, param string, n int, context string, unfiltered array<string>"), spark.createDataFrame(CONTROL, "route string, context string, unfiltered array<string>")
+
+
+@B.add("chosen_reflections", rows("route string, param string, context string, unfiltered string, severity string, verdict string",
+    ("/r", "a", "html_text", "<>", "medium", "worth_review"), ("/r", "c", "script", "'", "medium", "worth_review"), ("/s", "a", "html_comment", "", "info", "likely_benign"), ("/r", "(any)", "html_attr", '"', "medium", "worth_review"),
+))
+def chosen_reflections(spark, sf_dir):
+    return dom.chosen_reflections(*_occurred(spark)).select("route", "param", "context", F.array_join("unfiltered", "").alias("unfiltered"), "severity", "verdict")
+
+
+@B.add("suppressed_echoes", rows("route string, n int", ("/r", 1)))
+def suppressed_echoes(spark, sf_dir):
+    return dom.suppressed_echoes(*_occurred(spark)).select("route", F.col("n").cast("int").alias("n"))
+
+
+def _mapped(spark):
+    return dom.mapped(_flows(spark), spark.createDataFrame([("p1",)], "probe_id string")).where("page_url in ('https://a.test/p?x', 'https://a.test/m')")
+
+
+def _reflected(spark):
+    schema = "ord int, target string, page_url string, parameter string, context string, occurrences int, unfiltered array<string>, value_preview string, discovered_by array<string>, severity string, confidence string, notes string"
+    return dom.reflections_merged(spark.createDataFrame(SHOWN[:2], schema))
+
+
+@B.add("report_text", rows("place int, value string",
+    (0, "[token] (medium) tok params=p q"), (0, "[email] (info) a<b@x.test"), (1, "=== Gathered URLs ==="), (2, "[gathered_url] (high) https://a.test/"), (3, f"[scan] checksum={_SUM} scan_time=T"), (4, "=== DOM Findings ==="),
+    (5, "[dom_flow] (high/certain/confirmed) url_query[q] -> innerHTML(arg 0)\n    page=https://a.test/p?x\n    triage=confirmed reason=controlled execution was confirmed"),
+    (5, "[web_message] (low/medium)  listeners=2 origin_checked=false source_checked=false reaches_sink=false\n    page=https://a.test/m\n    triage=worth_review reason=a message listener consumed data without visible origin validation; review where the data flows"),
+    (6, "=== Reflection Findings ==="), (7, "[reflection] (low/medium) GET[q] -> html_text\n    url=https://a.test/b?q= (+1 more route(s)) occurrences=5\n    unfiltered=< >\n    triage=worth_review"),
+))
+def report_text(spark, sf_dir):
+    return sinks.pretty_report(REPORTED.df(spark), "T", _mapped(spark), _reflected(spark))
+
+
+@B.add("report_document_whole", rows("part int, lines int, commas int", (0, 5, 2), (1, 1, 0), (2, 2, 1), (3, 1, 0), (4, 1, 0), (5, 1, 0), (6, 1, 0), (7, 1, 0)))
+def report_document_whole(spark, sf_dir):
+    out = sinks.whole_document(REPORTED.df(spark), "T", _mapped(spark), _reflected(spark))
+    return out.groupBy("part").agg(F.count("*").cast("int").alias("lines"), F.count_if(F.col("value").endswith(",")).cast("int").alias("commas"))
+
+
+@B.add("said_lines", rows("value string", ("[1] one",), ("[2] two",)))
+def said_lines(spark, sf_dir):
+    said: list[str] = []
+    say = sinks.narrator(2, said.append)
+    for at, text in ((1, "one"), (3, "three"), (2, "two")):
+        say(at, text)
+    return spark.createDataFrame([(x,) for x in said], "value string")

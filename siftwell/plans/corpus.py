@@ -166,11 +166,6 @@ def safe_mode_rules(spark, sf_dir):
     return spark.createDataFrame([(r.name, r.severity) for r in rules.default_rules() if r.script], "pattern string, severity string")
 
 
-@B.add("entropy_rule")
-def entropy_rule(spark, sf_dir):
-    return scan.entropy_matches(_documents(spark, sf_dir), 4.0).select("source", "value", "severity")
-
-
 @B.add("json_lines")
 def json_lines(spark, sf_dir):
     return sinks.json_lines(_kept(spark, sf_dir))

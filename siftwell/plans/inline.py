@@ -241,21 +241,14 @@ def bundled_contexts(spark, sf_dir):
     return frontier.suppressed_contexts(MODULES.df(spark))
 
 
-HINTS = Inline("scope string, kind string, name string, provenance array<string>", [("a", "query", "q", ["x"]), ("a", "query", "q", ["w", "x"]), ("a", "cookie", "c", ["y"]), ("a", "header", "h", ["z"]), ("b", "query", "q", ["x"])])
+HINTS = Inline("scope string, kind string, name string, provenance array<string>", [("a", "url_query", "q", ["x"]), ("a", "url_query", "q", ["w", "x"]), ("a", "cookie", "c", ["y"]), ("a", "header", "h", ["z"]), ("b", "url_query", "q", ["x"])])
 
 
-@B.add("source_hint_merge", f"SELECT scope, kind, name, array_to_string(list_sort(list_distinct(flatten(list(provenance)))), ',') AS provenance FROM {HINTS.sql} WHERE kind IN ('query', 'localStorage', 'sessionStorage', 'cookie') GROUP BY scope, kind, name")
+@B.add("source_hint_merge", f"SELECT scope, kind, name, array_to_string(list_sort(list_distinct(flatten(list(provenance)))), ',') AS provenance FROM {HINTS.sql} WHERE kind IN ('url_query', 'local_storage', 'session_storage', 'cookie') GROUP BY scope, kind, name")
 def source_hint_merge(spark, sf_dir):
     return reduce.hints(HINTS.df(spark)).withColumn("provenance", F.array_join("provenance", ","))
 
 
-@B.add("replay_plan", f"WITH s AS (SELECT {part('url', 1)} || '://' || {part('url', 2)} AS origin, {SEGMENTS} AS p FROM pages), v AS (SELECT DISTINCT origin, unnest({LEVELS}) AS level FROM s) SELECT origin, level, 'a=1' AS params FROM v ORDER BY origin, level LIMIT 500")
-def replay_plan(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    levels = p.select(urls.origin(F.col("url")).alias("origin"), F.explode(urls.levels(F.col("url"))).alias("level")).distinct()
-    return frontier.replay_plan(levels.select("origin").distinct().withColumn("params", F.lit("a=1")), levels).select("origin", "level", "params")
-
-
 SCRIPTS = Inline("id int, body string", [
     (1, "fetch('/v1/test'); const u=\"https://api.example.com/v1\"; x('./local/api'); y('../parent/api'); z=\"//cdn.example.com/lib.js\"; new WebSocket('wss://s.example.com/live')"),
     (2, "$.post(\"./local\", {a:1}); $.ajax({url:'../ajax', type:'POST', data:payload}); var r=new XMLHttpRequest(); r.open('POST','/up'); r.send(file); fetch('/f',{method:'POST',body:JSON.stringify({user:1,pass})});"),
@@ -276,11 +269,6 @@ def js_imports(spark, sf_dir):
     return SCRIPTS.df(spark).select("id", F.explode(extract.imports(F.col("body"))).alias("value"))
 
 
-@B.add("source_hints")
-def source_hints(spark, sf_dir):
-    return scripts.explode_with(SCRIPTS.df(spark), "id", "body", scripts.source_hints, "kind string, name string, provenance string")
-
-
 FORMS = Inline("url string, html string", [("https://a.test/p/q", '<form method="post" action="/login"><input name="u"><input name="p"><input name="u"></form><FORM METHOD="POST"><select name="s"></select></FORM><form action="/g"><input name="x"></form>')])
 
 

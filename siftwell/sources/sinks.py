@@ -202,3 +202,72 @@ def banner(version: str, colour: bool = False) -> str:
     """The first line of a text report."""
     name = f"siftwell v{version}"
     return f"{STYLES['string']}{name}{RESET}" if colour else name
+
+
+def pretty_flows(findings: DataFrame) -> DataFrame:
+    """(value): the flows, sinks and messages of pages in order, one text of some lines each."""
+    m = F.col("message")
+    sure = F.when(F.col("confirmed"), "/confirmed").otherwise("")
+    source = F.when(F.col("source_kind").isNotNull(), F.concat("source_kind", F.when(F.col("source_name") != "", F.concat(F.lit("["), "source_name", F.lit("]"))).otherwise(""), F.lit(" -> "))).otherwise("")
+    sink = F.when(F.col("sink").isNotNull(), F.concat("sink", F.lit("(arg "), F.col("argument").cast("string"), F.lit(")"))).otherwise("")
+    said = lambda name, c: F.concat(F.lit(f" {name}="), m[c].cast("string"))
+    message = F.when(m.isNotNull(), F.concat(said("listeners", "listener_count"), said("origin_checked", "origin_checked"), said("source_checked", "source_checked"), said("reaches_sink", "reaches_sink"))).otherwise("")
+    reason = F.concat(F.lit("\n    triage="), F.col("triage.verdict"), F.lit(" reason="), F.col("triage.reason"))
+    text = F.concat(F.lit("["), "type", F.lit("] ("), "severity", F.lit("/"), "confidence", sure, F.lit(") "), source, sink, message, F.lit("\n    page="), "page_url", reason)
+    return in_order(findings).select(text.alias("value"))
+
+
+def pretty_reflections(findings: DataFrame) -> DataFrame:
+    """(value): reflections in order, one text of some lines each."""
+    more = F.when(F.col("seen_on_routes") > 1, F.concat(F.lit(" (+"), (F.col("seen_on_routes") - 1).cast("string"), F.lit(" more route(s))"))).otherwise("")
+    chars = F.when(F.size("unfiltered") > 0, F.concat(F.lit("\n    unfiltered="), F.array_join("unfiltered", " "))).otherwise("")
+    text = F.concat(F.lit("[reflection] ("), "severity", F.lit("/"), "confidence", F.lit(") GET["), "parameter", F.lit("] -> "), "context", F.lit("\n    url="), "page_url", more, F.lit(" occurrences="), F.col("occurrences").cast("string"), chars, F.lit("\n    triage="), "verdict")
+    return in_order(findings).select(text.alias("value"))
+
+
+def pretty_report(matches: DataFrame, scan_time: str, dom: DataFrame | None = None, reflections: DataFrame | None = None) -> DataFrame:
+    """(place, value): the whole report as text: findings, gathered addresses, the checksum, flows and reflections."""
+    spark, late = matches.sparkSession, F.col("pattern") == "gathered_url"
+    title = lambda t: spark.createDataFrame([(t,)], "value string")
+    parts = [pretty(matches.where(~late)), title("=== Gathered URLs ===") if not matches.where(late).isEmpty() else None, pretty(matches.where(late)), checksum(matches).select(F.concat(F.lit("[scan] checksum="), "checksum", F.lit(f" scan_time={scan_time}")).alias("value"))]
+    for name, rows, show in (("DOM", dom, pretty_flows), ("Reflection", reflections, pretty_reflections)):
+        parts += [title(f"=== {name} Findings ==="), show(rows)] if rows is not None else []
+    out = None
+    for i, part in enumerate(p for p in parts if p is not None):
+        one = part.select(F.lit(i).alias("place"), "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def whole_document(matches: DataFrame, scan_time: str, dom: DataFrame | None = None, reflections: DataFrame | None = None) -> DataFrame:
+    """(part, value): the lines of the JSON document with flows and reflections, part by part; the document's own fields only
+    where there are neither."""
+    parts = [envelope_lines(matches, scan_time).orderBy("place").select("value")]
+    if dom is not None or reflections is not None:
+        parts[0] = envelope_lines(matches, scan_time).orderBy("place").select(F.regexp_replace("value", r"^\]\}$", "]").alias("value"))
+        for name, rows in (("dom_findings", dom), ("reflection_findings", reflections)):
+            if rows is not None:
+                parts += [matches.sparkSession.createDataFrame([(f',"{name}":[',)], "value string"), _listed(rows), matches.sparkSession.createDataFrame([("]",)], "value string")]
+        parts.append(matches.sparkSession.createDataFrame([("}",)], "value string"))
+    out = None
+    for i, part in enumerate(parts):
+        one = part.select(F.lit(i).alias("part"), "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _listed(findings: DataFrame) -> DataFrame:
+    """records() with a comma after all but the last."""
+    last = findings.agg(F.max(F.struct((-severity_rank(F.col("severity"))).alias("r"), "fingerprint")).alias("last"))
+    marked = findings.join(F.broadcast(last)).withColumn("__comma", F.struct((-severity_rank(F.col("severity"))).alias("r"), F.col("fingerprint")) != F.col("last")).drop("last")
+    shown = [F.when(F.col(c) != "", F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in marked.dtypes if c not in ("ord", "__comma")]
+    return in_order(marked).select(F.concat(F.to_json(F.struct(*shown)), F.when(F.col("__comma"), ",").otherwise("")).alias("value"))
+
+
+#: Levels of what a run says of itself; nothing goes to its results.
+def narrator(level: int, write=None):
+    """say(level, text) that writes the texts of at most this level, to standard error if nothing else is given."""
+    import sys
+
+    out = write or (lambda text: print(text, file=sys.stderr))
+    return lambda at, text: out(f"[{at}] {text}") if at <= level else None
