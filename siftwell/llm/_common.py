@@ -1,9 +1,12 @@
 """What the operators of this subpackage share: the folder for intermediate tables and row identity."""
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A key that holds more than one in HOT of all rows is hot, so fewer than HOT keys are; its rows go to SALTS tasks.
 HOT, SALTS = 1000, 128
 
+#: The C library's way to return freed memory, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _made: list[tuple[str, str]] = []
 
 
@@ -85,6 +91,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _given_back(out):
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+    return out
+
+
+def trimmed(f: Callable) -> Callable:
+    """f, a function of one or two Arrow tables, that gives freed memory back to the system when it is done: a worker that
+    waits for its next task, or for another stage, holds none of the last one's."""
+
+    if f.__code__.co_argcount == 1:
+        return lambda group: _given_back(f(group))
+    return lambda group, other: _given_back(f(group, other))
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Tells rows apart that share a doc_id; rows equal in both columns get equal keys and equal treatment."""
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.xxhash64(text).cast("string"))

@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import fresh, fresh_table, release, saved
+from ._common import fresh, fresh_table, release, saved, trimmed
 
 #: Bytes of text of a batch and of a range, the least number of batches and of bits of a range, and the most buckets of a table.
-BATCH_BYTES, RANGE_BYTES, LEAST, LEAST_BITS, MOST_BUCKETS = 8_000_000, 16_000_000, 12, 4, 50_000
+BATCH_BYTES, RANGE_BYTES, LEAST, LEAST_BITS, MOST_BUCKETS = 8_000_000, 4_000_000, 12, 4, 50_000
 #: Bits of a range that one step adds.
 DIGIT = 10
 
@@ -142,7 +142,7 @@ def ask(placed: DataFrame, keys_of: Callable[[pa.Table], list[tuple[int, np.ndar
         batch = group.column("batch")[0].as_py()
         return rows([x for kind, keys, counts in keys_of(group) for x in asked(batch, kind, keys, counts, shift)], ASKED)
 
-    return placed.groupBy("batch").applyInArrow(run, ASK)
+    return placed.groupBy("batch").applyInArrow(trimmed(run), ASK)
 
 
 def exchanged(asks: DataFrame, answer: Callable[[pa.Table], pa.Table], k: int, bits: int = 64, lanes: int = 1, subset: bool = False) -> DataFrame:
@@ -156,7 +156,7 @@ def exchanged(asks: DataFrame, answer: Callable[[pa.Table], pa.Table], k: int, b
 
 def _step(asks: DataFrame, answer, k: int, bits: int, lanes: int, subset: bool, done: int) -> DataFrame:
     if done == k:
-        return asks.repartition(min(1 << k, MOST_BUCKETS), "range").groupBy("range").applyInArrow(answer, ANSWER)
+        return asks.repartition(min(1 << k, MOST_BUCKETS), "range").groupBy("range").applyInArrow(trimmed(answer), ANSWER)
     group = F.floor(F.col("batch") / (lanes << DIGIT)).cast("long")
     up = (F.call_function("shiftleft", group, F.lit(done)) + F.col("range")) * lanes + F.pmod("batch", F.lit(lanes))
     asks = saved(asks.withColumn("up", up), "asks")
@@ -183,10 +183,10 @@ def _step(asks: DataFrame, answer, k: int, bits: int, lanes: int, subset: bool,
                     out += [(x["batch"], other, x["range"], pack_numbers(counts[p])) for x, p in zip(found, places, strict=True)]
         return rows(out, ANSWERED)
 
-    merged = asks.groupBy("up").applyInArrow(merge, ASK)
+    merged = asks.groupBy("up").applyInArrow(trimmed(merge), ASK)
     answers = _step(merged, answer, k, bits, lanes, subset, now)
     answers = saved(answers, "answers")
-    dealt_out = asks.groupBy("up").cogroup(answers.where("batch >= 0").groupBy("batch")).applyInArrow(deal, ANSWER)
+    dealt_out = asks.groupBy("up").cogroup(answers.where("batch >= 0").groupBy("batch")).applyInArrow(trimmed(deal), ANSWER)
     return dealt_out.union(answers.where("batch < 0"))
 
 

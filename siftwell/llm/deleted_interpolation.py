@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _exchange as X
-from ._common import saved, table
+from ._common import saved, table, trimmed
 from ._tokens import as_bytes, pair, words
 
 FOLDS, HELD, DELETED = 10, 0, 1
@@ -150,7 +150,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         return pa.table({"b": cells[:, 0], "q2": cells[:, 1], "q1": cells[:, 2], "n": count.astype(np.int64)})
 
     deleted = placed.where("batch % 3 = 1").groupBy("batch").cogroup(answers.where("batch % 3 = 1").groupBy("batch"))
-    grid = deleted.applyInArrow(events, "b bigint, q2 bigint, q1 bigint, n bigint").groupBy("b", "q2", "q1").agg(F.sum("n"))
+    grid = deleted.applyInArrow(trimmed(events), "b bigint, q2 bigint, q1 bigint, n bigint").groupBy("b", "q2", "q1").agg(F.sum("n"))
     weights = learned([tuple(r) for r in grid.orderBy("b", "q2", "q1").collect()], vocabulary)
 
     def score(group: pa.Table, mine: pa.Table) -> pa.Table:
@@ -171,7 +171,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     out = pa.schema([("doc_id", X.arrow_type(placed, "doc_id")), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     answered = answers.where("batch >= 0")
-    return placed.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(score, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return placed.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(trimmed(score), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _exchange as X
-from ._common import joined_on, saved, table
+from ._common import joined_on, saved, table, trimmed
 from ._components import components
 from ._tokens import U, as_bytes, mix, pair, words
 
@@ -95,7 +95,7 @@ def _described(placed: DataFrame, answers: DataFrame, size: int, percent: int, k
 
     names = ["doc_id", "node", "n_shingles", "shingles", "first", "others"]
     types = [X.arrow_type(placed, "doc_id"), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return placed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, DOCS.format(kind))
+    return placed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(trimmed(run), DOCS.format(kind))
 
 
 def _classes(group: pa.Table) -> pa.Table:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _exchange as X
-from ._common import table
+from ._common import table, trimmed
 from ._tokens import U, as_bytes, mix, pair, words
 
 WINDOW = 35
@@ -148,10 +148,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     by_batch = lambda df: df.groupBy("batch")
     flags = X.exchanged(X.ask(placed, symbols, k), _flags, k)
-    wanted = by_batch(placed).cogroup(by_batch(flags)).applyInArrow(windows, X.ASK)
+    wanted = by_batch(placed).cogroup(by_batch(flags)).applyInArrow(trimmed(windows), X.ASK)
     repeated = X.exchanged(wanted, _repeated, k, subset=True)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return by_batch(placed).cogroup(by_batch(repeated)).applyInArrow(remove, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    return by_batch(placed).cogroup(by_batch(repeated)).applyInArrow(trimmed(remove), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
