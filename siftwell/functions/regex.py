@@ -63,3 +63,18 @@ def required_literal(pattern: str) -> tuple[str, bool] | None:
     if not best or len(best) == 1 and (best.isalnum() or best in " -_."):
         return None
     return (best.lower() if free else best), free
+
+
+def required_any(pattern: str) -> list[str] | None:
+    """Literals of two characters and more of which every match contains one: the alternatives of a group that no match is
+    without. Of several such groups the one whose shortest literal is the longest. Only where case counts."""
+    if "(?i" in pattern or "|" in re.sub(r"\([^()]*\)|\[[^\]]*\]", "", re.sub(r"\([^()]*\)", "()", pattern)):
+        return None
+    best: list[str] | None = None
+    for m in re.finditer(r"\((?:\?:)?([^()]*)\)(?![*?]|\{0)", pattern):
+        found = [required_literal(x) for x in m[1].split("|")]
+        if all(f is not None and len(f[0]) > 1 for f in found):
+            literals = [f[0] for f in found]
+            if best is None or min(map(len, literals)) > min(map(len, best)):
+                best = literals
+    return best

@@ -2,6 +2,7 @@
 
 import hashlib
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,12 +71,14 @@ def checksum(matches: DataFrame) -> DataFrame:
     spark = matches.sparkSession
     order = ["pattern", "value", "params", "severity"]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = canonical(matches).select(*order, "json").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    found = canonical(matches).select(*order, "json").persist(StorageLevel.DISK_ONLY)  # the ranges are sampled first
+    rows = found.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     digest, first = hashlib.sha256(b"["), True
     for row in rows.select("json").toLocalIterator(prefetchPartitions=False):
         digest.update((b"" if first else b",") + row.json.encode())
         first = False
     digest.update(b"]")
+    found.unpersist()
     return spark.createDataFrame([(digest.hexdigest(),)], "checksum string")
 
 

@@ -1,9 +1,12 @@
 """The rule scan: artifacts to lines to matches."""
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import required_literal, to_java
+from ..functions.regex import required_any, required_literal, to_java
 from . import filters
 from .rules import Rule, default_rules
 
@@ -11,7 +14,7 @@ MATCH = ("source", "pattern", "value", "params", "severity", "ord", "line_no")
 
 
 #: What every match of a rule without a plain literal contains, as a pattern that fails fast.
-GATES = {"long_secret": "(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32}", "ipv4": r"[0-9]\.[0-9]", "phone": "[0-9]{3}-[0-9]{3}-[0-9]{4}"}
+GATES = {"long_secret": "(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32}", "ipv4": r"[0-9]\.[0-9]", "phone": "[0-9]{3}-[0-9]{3}-[0-9]{4}", "ipv6": ":[0-9a-fA-F]*:", "discord_bot_token": r"\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27}"}
 
 
 def lines(artifacts: DataFrame, body: str = "body") -> DataFrame:
@@ -97,7 +100,13 @@ def _gate(rule: Rule, body: Column, lower: Column) -> Column:
     if rule.name == "path":
         return body.rlike(r"[/\\]")
     literal = required_literal(rule.pattern)
-    return F.lit(True) if literal is None else (lower if literal[1] else body).contains(literal[0])
+    if literal is not None:
+        return (lower if literal[1] else body).contains(literal[0])
+    if some := required_any(rule.pattern):
+        return functools.reduce(Column.__or__, [body.contains(x) for x in some])
+    # to a pattern without anchors the end of a line is like the end of a text, so what matches a line matches the body
+    anchored = re.search(r"[\^$]|\\[AzZ]", re.sub(r"\\[^AzZ]|\[\^?\]?[^\]]*\]", "", rule.pattern))
+    return F.lit(True) if anchored else body.rlike(to_java(rule.pattern))
 
 
 def scan(artifacts: DataFrame, rules: list[Rule] | None = None, body: str = "body", whole: bool = False) -> DataFrame:

@@ -166,11 +166,16 @@ def safe_mode_rules(spark, sf_dir):
     return spark.createDataFrame([(r.name, r.severity) for r in rules.default_rules() if r.script], "pattern string, severity string")
 
 
-@B.add("json_lines")
+FINGERPRINT = "substr(sha256(pattern || chr(31) || value || chr(31) || params || chr(31) || severity || chr(31) || source), 1, 32)"
+
+
+@B.add("json_lines", f"""WITH {DOC_SQL} SELECT '{{"type":"match","pattern":' || to_json(pattern) || ',"value":' || to_json(value) || ',"severity":"' || severity || '","source":' || to_json(source) || ',"fingerprint":"' || {FINGERPRINT} || '"}}' AS value FROM k""")
 def json_lines(spark, sf_dir):
     return sinks.json_lines(_kept(spark, sf_dir))
 
 
-@B.add("json_envelope")
+@B.add("json_envelope", f"""WITH {DOC_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY rank, ord DESC, line_no DESC, pattern DESC, value DESC) = 1 AS last FROM k)
+  SELECT '{{"checksum":"' || sha256('[' || coalesce(string_agg({CANONICAL}, ',' ORDER BY pattern, value, params, severity), '') || ']') || '","scan_time":"","results":[' AS value FROM k
+  UNION ALL SELECT '{{"pattern":' || to_json(pattern) || ',"value":' || to_json(value) || ',"severity":"' || severity || '"}}' || CASE WHEN last THEN '' ELSE ',' END FROM o UNION ALL SELECT ']}}'""")
 def json_envelope(spark, sf_dir):
     return sinks.envelope(_kept(spark, sf_dir))

@@ -3,6 +3,7 @@
 import json
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +83,7 @@ def write_report(path: str, matches: DataFrame, scan_time: str, dom: DataFrame |
 def envelope_lines(matches: DataFrame, scan_time: str = "", show_source: bool = False) -> DataFrame:
     """(place, value): the lines of one JSON document, the checksum before the results; the results are never one value, so the
     document is written like any table, in the order of place."""
+    matches = matches.persist(StorageLevel.DISK_ONLY)  # read for the checksum, the last row and the rows
     source = [F.nullif("source", F.lit("")).alias("source")] if show_source else []
     fields = F.struct("pattern", "value", F.nullif(short_params(F.col("params")), F.lit("")).alias("params"), "severity", *source)
     rank = F.struct(F.lit(1).alias("part"), (F.col("pattern") == "gathered_url").alias("late"), (-severity_rank(F.col("severity"))).alias("rank"), "ord", "line_no", "pattern", "value", "params")

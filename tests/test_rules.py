@@ -5,8 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.functions.regex import required_literal, to_java
-from siftwell.operators import filters, frontier, headers, literals, posts, reduce, rules, scan, scripts, urls, verdicts
+from siftwell.functions.regex import required_any, required_literal, to_java
+from siftwell.operators import crawl, dom, filters, frontier, headers, literals, posts, reduce, rules, scan, scripts, urls, verdicts
+from siftwell.sources import sinks
 
 
 def artifacts(spark, *lines):
@@ -148,3 +149,51 @@ def test_small_functions(spark):
     assert [r[0] for r in df.select(reduce.short_params(F.col("v"))).collect()] == ["x" * 97 + "...", "a b"]
     df = spark.createDataFrame([("www.a.test", "b.a.test"), ("a.test", "xa.test")], "a string, b string")
     assert [r[0] for r in df.select(filters.same_scope(F.col("a"), F.col("b"))).collect()] == [True, False]
+
+
+def test_bodies_keep_every_rule_that_matches_a_line(spark):
+    samples = {
+        "stripe_key": "sk_live_" + "a1" * 8, "aws_akia": "AKIA" + "A" * 16, "discord_bot_token": "M" + "a" * 23 + "." + "b" * 6 + "." + "c" * 27, "notion_token": "ntn_" + "j" * 46,
+        "launchdarkly_key": "sdk-01234567-0123-0123-0123-0123456789ab", "nuclei-volcengine-access-key": "AKTP" + "x" * 35, "nuclei-wechat-appid": "'wx0123456789abcdef'", "nuclei-password-in-source": "user_pwd='abcde1'",
+        "ipv6": "2001:db8::1", "path": "/usr/lib/x", "email": "a@b.example", "nuclei-github-token": "ghp_" + "z" * 36,
+    }
+    every = rules.default_rules() + rules.strict_rules()
+    art = spark.createDataFrame([(n, i, f"first line\n{v}\nlast line") for i, (n, v) in enumerate(samples.items())], "source string, ord long, body string")
+    got = {(r.source, r.pattern) for r in scan.scan(art, every).collect()}
+    assert {(n, n) for n in samples} <= got
+
+
+def test_literals_of_which_one_must_occur():
+    assert required_any("(?:AKLT|AKTP)[a-z]{3}") == ["AKLT", "AKTP"] and required_any(r"\b(?:sk|pk)_(?:live|test)_x") == ["live", "test"]
+    assert required_any("(?:ab|cd)?x") is None and required_any("(?i)(?:ab|cd)") is None and required_any("ab|(?:cd|ef)") is None and required_any("(?:ab|[cd])x") is None
+
+
+def test_marks_of_a_crawl(spark, tmp_path):
+    edges = spark.createDataFrame([("https://a.test/", "https://a.test/x")], "page string, url string")
+    store = f"file://{tmp_path}/store"
+    assert crawl.walk(spark, edges, "https://a.test/", store).count() == 2 and crawl.saved_levels(spark, store, "https://a.test/") == 3
+    assert crawl.saved_levels(spark, store, "https://b.test/") == 0
+    spark.createDataFrame([(crawl.VERSION + 1, "https://a.test/")], "version int, seed string").write.mode("overwrite").parquet(f"{store}/meta")
+    with pytest.raises(ValueError, match="version"):
+        crawl.saved_levels(spark, store, "https://a.test/")
+    crawl.removed(spark, store)
+    assert crawl.saved_levels(spark, store, "https://a.test/") == 0
+
+
+def test_nulls_and_empty_tables_of_pages(spark):
+    schema = "url string, status int, content_type string, body string, link string, location string"
+    rows = spark.createDataFrame([("https://a.test/", 200, None, None, None, None), ("https://a.test/x", None, None, "", None, None)], schema)
+    assert crawl.page_matches(rows).count() == 0 and crawl.page_posts(rows.limit(0)).count() == 0
+    assert dom.mapped(spark.createDataFrame([], dom.RAW)).count() == 0
+
+
+def test_unknown_families_are_refused():
+    assert dom.chosen_sources(["location", "cookie"]) == ["url_query", "url_fragment", "cookie"]
+    with pytest.raises(ValueError, match="nothing"):
+        dom.chosen_sources(["nothing"])
+
+
+def test_styled_snippets():
+    out = sinks.rendered('const k="topsecret";', "topsecret", True)
+    assert sinks.STYLES["match"] + "topsecret" + sinks.RESET in out and sinks.STYLES["keyword"] + "const" + sinks.RESET in out
+    assert sinks.rendered("", "x") == ""
