@@ -26,6 +26,12 @@ def _order() -> list:
     return [F.col("seed").desc(), F.col("depth"), F.col("passive_source") != "", F.col("permuted"), F.col("score").desc(), F.col("seq")]
 
 
+def unvisited(found: DataFrame, visited: DataFrame) -> DataFrame:
+    """(url): the distinct addresses that are not among those visited, fragments aside."""
+    plain = lambda df: df.select(urls.without_fragment(F.col("url")).alias("url"))
+    return plain(found).distinct().join(plain(visited), "url", "left_anti")
+
+
 def template_sample(targets: DataFrame, order: list, k: int = 3, url: str = "url") -> DataFrame:
     """The first k addresses of each template."""
     return first_per_class(targets.withColumn("template", urls.template_key(F.col(url))), ["template"], order, k)

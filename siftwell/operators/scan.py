@@ -25,7 +25,8 @@ def lines(artifacts: DataFrame, body: str = "body") -> DataFrame:
 
 def _hits(rule: Rule, line: Column) -> Column:
     gate = GATES.get(rule.name)
-    return F.when(line.rlike(gate), _found(rule, line)) if gate else _found(rule, line)
+    found = _found(rule, line) if rule.keep is None else F.filter(_found(rule, line), rule.keep)
+    return F.when(line.rlike(gate), found) if gate else found
 
 
 def _found(rule: Rule, line: Column) -> Column:

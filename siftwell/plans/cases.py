@@ -840,3 +840,16 @@ def said_lines(spark, sf_dir):
     for at, text in ((1, "one"), (3, "three"), (2, "two")):
         say(at, text)
     return spark.createDataFrame([(x,) for x in said], "value string")
+
+
+@B.add("filtered_rule", rows("value string", ("code-42",), ("code-44",)))
+def filtered_rule(spark, sf_dir):
+    even = rules.Rule("even", "code-[0-9]+", "low", keep=lambda v: F.regexp_extract(v, "[0-9]+", 0).cast("int") % 2 == 0)
+    art = spark.createDataFrame([("a", 0, "code-41 code-42 code-43\ncode-44")], "source string, ord long, body string")
+    return scan.scan(art, [even]).select("value")
+
+
+@B.add("unvisited_urls", rows("url string", ("https://a.test/new",), ("https://a.test/x?q",)))
+def unvisited_urls(spark, sf_dir):
+    found = texts("url string", "https://a.test/new#1", "https://a.test/new#2", "https://a.test/x", "https://a.test/x?q").df(spark)
+    return frontier.unvisited(found, texts("url string", "https://a.test/x#top").df(spark))

@@ -80,9 +80,9 @@ def value_dedup(spark, sf_dir):
     return reduce.keep_top_severity(reduce.unique(MATCHES.df(spark))).select("source", "pattern", "value", "params", "severity")
 
 
-@B.add("gathered_last", f"SELECT pattern, value FROM {MATCHES.sql} ORDER BY pattern = 'gathered_url', ord LIMIT 10")
+@B.add("gathered_last", f"SELECT pattern, value FROM {MATCHES.sql} ORDER BY pattern = 'gathered_url', ord")
 def gathered_last(spark, sf_dir):
-    return MATCHES.df(spark).orderBy(F.col("pattern") == "gathered_url", "ord").select("pattern", "value").limit(10)
+    return MATCHES.df(spark).orderBy(F.col("pattern") == "gathered_url", "ord").select("pattern", "value")
 
 
 @B.add("gathered_last_whole", f"SELECT pattern, value, row_number() OVER (ORDER BY pattern = 'gathered_url', ord) AS place FROM {MATCHES.sql}")

@@ -86,9 +86,9 @@ def target_score(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", urls.target_score(F.col("url")).alias("score"))
 
 
-@B.add("frontier_order", f"SELECT page_id, score FROM (SELECT page_id, page_id % 3 AS depth, {SCORE} AS score FROM pages) ORDER BY page_id = 0 DESC, depth, score DESC, page_id LIMIT 50")
+@B.add("frontier_order", f"SELECT page_id, score FROM (SELECT page_id, page_id % 3 AS depth, {SCORE} AS score FROM pages) ORDER BY page_id = 0 DESC, depth, score DESC, page_id")
 def frontier_order(spark, sf_dir):
-    return frontier.ordered(_targets(spark, sf_dir)).select(F.col("seq").alias("page_id"), "score").limit(50)
+    return frontier.ordered(_targets(spark, sf_dir)).select(F.col("seq").alias("page_id"), "score")
 
 
 def _targets(spark, sf_dir):
