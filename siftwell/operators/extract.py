@@ -47,10 +47,16 @@ def srcset(value: Column) -> Column:
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(source, value): distinct absolute links of each page."""
-    body = F.regexp_replace(F.col(html), r"(?is)<base\b[^>]*>", " ")
-    raw = F.concat(all_of(body, ATTRIBUTE), F.flatten(F.transform(all_of(body, SRCSET), srcset)), all_of(body, CSS_URL))
-    each = pages.select(F.col(url).alias("source"), document_base(F.col(html), F.col(url)).alias("base"), F.explode(F.array_distinct(raw)).alias("raw"))
-    each = each.withColumn("ref", entities(F.btrim(F.col("raw"))))
+    lower, none = F.lower(F.col(html)), F.array().cast("array<string>")
+    based = F.contains(lower, F.lit("<base"))
+    body = F.when(based, F.regexp_replace(F.col(html), r"(?is)<base\b[^>]*>", " ")).otherwise(F.col(html))
+    sets = F.when(F.contains(lower, F.lit("srcset")), F.flatten(F.transform(all_of(body, SRCSET), srcset))).otherwise(none)
+    styles = F.when(F.contains(lower, F.lit("url(")), all_of(body, CSS_URL)).otherwise(none)
+    raw = F.array_distinct(F.transform(F.concat(all_of(body, ATTRIBUTE), sets, styles), lambda x: entities(F.btrim(x))))
+    base = F.when(based, document_base(F.col(html), F.col(url))).otherwise(F.col(url))
+    # the page is read before the links are dealt out, so it does not travel with each of them
+    read = pages.select(F.col(url).alias("source"), base.alias("base"), raw.alias("refs"))
+    each = read.select("source", "base", F.explode("refs").alias("ref"))
     ref = F.col("ref")
     skip = (ref == "") | ref.startswith("#") | filters.template_placeholder(ref)
     for s in NOT_NAVIGATED:
