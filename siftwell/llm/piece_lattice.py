@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 from ._common import table
 
 SPACE, LITERAL = "▁", "▁"
-N_BEST, PART, CACHE, UNIT = 4, 256, 400_000, 1_000_000
+N_BEST, PART, CACHE, UNIT = 4, 256, 250_000, 1_000_000
 
 
 def default_vocabulary() -> str:
