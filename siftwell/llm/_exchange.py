@@ -173,11 +173,11 @@ def _step(asks: DataFrame, answer, k: int, bits: int, lanes: int, subset: bool,
         out = []
         for kind, found in _by_kind(mine).items():
             own = [unpack(x["keys"]) for x in found]
-            places = totals([(x, np.zeros(len(x), np.uint64)) for x in own])[1]
+            all_keys, places, _ = totals([(x, np.zeros(len(x), np.uint64)) for x in own])
             for other in {x for x in answers.column("kind").to_pylist() if x % KINDS == kind}:
                 if subset:
-                    known = answered_keys(answers, other)
-                    out += [(x["batch"], other, x["range"], pack(o[np.isin(o, known)])) for x, o in zip(found, own, strict=True)]
+                    counting = np.isin(all_keys, answered_keys(answers, other))  # once for the group, not once a batch
+                    out += [(x["batch"], other, x["range"], pack(o[counting[p]])) for x, o, p in zip(found, own, places, strict=True)]
                 else:
                     counts = joined(answers, other)
                     out += [(x["batch"], other, x["range"], pack_numbers(counts[p])) for x, p in zip(found, places, strict=True)]

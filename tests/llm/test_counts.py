@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import time
 import zlib
 
 import numpy as np
@@ -65,6 +66,22 @@ def test_similar_sets_by_an_exchange_in_steps(docs, pairs, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute_components(pairs)
 
 
+def test_a_step_deals_out_to_many_batches_in_time(spark, monkeypatch):
+    """One group of 512 batches: a search of all its keys for each batch would take minutes."""
+    monkeypatch.setattr(_exchange, "DIGIT", 9)
+    monkeypatch.setattr(_exchange, "MOST_BUCKETS", 4)
+    rng = np.random.default_rng(2)
+    keys = [np.unique(rng.integers(0, 1 << 54, 2000).astype(np.uint64)) for _ in range(512)]
+    times = [rng.integers(1, 3, len(x)).astype(np.uint64) for x in keys]
+    asks = spark.createDataFrame([(b, 1, 0, _exchange.pack(x), _exchange.pack_numbers(t)) for b, (x, t) in enumerate(zip(keys, times, strict=True))], _exchange.ASK)
+    began = time.monotonic()
+    rows = _exchange.exchanged(asks, recompression._repeated, 10, subset=True).collect()
+    assert time.monotonic() - began < 60
+    assert [r.batch for r in sorted(rows, key=lambda r: r.batch)] == list(range(512))
+    for r in rows:
+        assert (_exchange.unpack(r.counts) == keys[r.batch][times[r.batch] > 1]).all()
+
+
 def test_ids_that_are_no_numbers(spark, pairs):
     named = spark.createDataFrame([(f"d{i}", t) for i, t, _, _ in pairs], "doc_id string, text string")
     for f in (deleted_interpolation.scored, recompression.without_repeats, jaccard_join.joined):
