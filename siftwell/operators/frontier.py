@@ -1,9 +1,12 @@
 """What to look at next: ordering, template caps, permuted paths, replay plans, and reach over captured pages."""
 
+import math
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from . import filters, urls
 from .reduce import first_per_class
 
@@ -46,25 +49,89 @@ def permuted(found: DataFrame, known: DataFrame, most: int | None = None) -> Dat
     each = found.select(urls.without_fragment(F.col("url")).alias("url")).distinct().withColumn("origin", urls.origin(F.col("url")))
     each = each.where(urls.scheme(F.col("url")).isin("http", "https"))
     many = each.groupBy("origin").agg(F.count("*").alias("n")).where("n > 1").select("origin")
-    each = each.join(many, "origin")
+    each = each.join(many, "origin").persist(StorageLevel.DISK_ONLY)
     levels = each.select("origin", F.explode(urls.levels(F.col("url"))).alias("level")).distinct()
+    levels = levels.withColumns({"api": urls.interface(F.lower("level")), "last": urls.last_of_level(F.col("level"))}).persist(StorageLevel.DISK_ONLY)
     variants = each.select("origin", F.explode(urls.path_variants(F.col("url"))).alias("v"))
     worth = F.when(F.col("v.mount"), 500).otherwise(0) - 150 * F.col("v.trimmed")
     paths = variants.groupBy("origin", F.col("v.path").alias("path"), F.col("v.query").alias("query")).agg(F.max_by("v", worth).alias("v"))
-    search = F.when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise("")
-    made = levels.join(paths, "origin").withColumn("url", F.concat("origin", "level", "path", search))
-    made = made.where(filters.crawlable(urls.path(F.col("url"))))
-    scored = made.groupBy("origin", "url").agg(F.max(urls.permutation_score(F.col("url"), F.col("level"), F.col("v"))).alias("score"))
-    seen = known.select(urls.without_fragment(F.col("url")).alias("url")).union(each.select("url"))
-    new = scored.join(seen, "url", "left_anti")
+    paths = paths.where(filters.crawlable(F.concat(F.lit("/"), "path"))).select("origin", "path", "query", *urls.variant_scores(F.col("v")))
+    seen = known.select(urls.without_fragment(F.col("url")).alias("url")).union(each.select("url")).distinct()
+    new = _crossed(levels, paths, seen)
     if most is not None:
         new = first_per_class(new, ["origin"], [F.col("score").desc(), "url"], 4 * most + 64)
     return new.select("url", "score")
 
 
-def best(candidates: DataFrame, k: int) -> DataFrame:
-    """The k best distinct addresses, by score and then by address."""
-    return candidates.groupBy("url").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "url").limit(k)
+#: Pairs of a level and a path that a task makes, about; sides of the blocks that they are dealt in; levels that a path carries.
+PAIRS, SIDE, CARRIED = 1 << 20, 1 << 10, 64
+
+
+def _cuts(whole: str, least: int) -> Column:
+    """(head, tail) of a path at each of its segments from the given one; a head ends with a slash or is empty."""
+    upto = lambda x, i: F.concat(F.array_join(F.slice(x, F.lit(1), i), "/"), F.when(i > 0, "/").otherwise(""))
+    cut = lambda x: F.transform(F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: i >= least), lambda i: F.struct(upto(x, i).alias("head"), F.array_join(F.slice(x, i + 1, F.size(x)), "/").alias("tail")))
+    return F.filter(let(F.split(F.col(whole), "/"), cut), lambda c: c["tail"] != "")
+
+
+def _crossed(levels: DataFrame, paths: DataFrame, seen: DataFrame) -> DataFrame:
+    """(origin, url, score): all levels of an origin with all its paths, each address once with its best score, no seen one.
+
+    The pairs are as many as levels times paths, so they are made in blocks of even size, are never exchanged, and no task
+    holds them. Two pairs give one address only if one path is the end of the other one and the rest ends a level. Only such
+    paths, and those that are seen under many levels, are grouped, those with the same last segment in one task.
+    """
+    keys = ["origin", "path", "query"]
+    site = F.col("url").alias("url"), urls.origin(F.col("url")).alias("origin"), urls.path(F.col("url")).alias("full"), urls.query(F.col("url")).alias("query")
+    search = F.when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise("")
+    parsed = seen.select(*site).where(F.col("full").startswith("/") & (F.col("url") == F.concat("origin", "full", search)))
+    parsed = parsed.join(levels.select("origin").distinct(), "origin", "left_semi").select("origin", "query", F.substring(F.col("full"), 2, 1 << 30).alias("whole"))
+    cuts = parsed.select("origin", "query", "whole", F.explode(_cuts("whole", 0)).alias("c")).select("origin", "query", "whole", F.concat(F.lit("/"), "c.head").alias("level"), F.col("c.tail").alias("path"))
+    cuts = cuts.join(levels, ["origin", "level"], "left_semi").join(paths, keys, "left_semi").persist(StorageLevel.DISK_ONLY)
+    number = cuts.groupBy(*keys).agg(F.count("*").alias("n"))
+    skip = cuts.join(number.where(F.col("n") <= CARRIED), keys).groupBy(*keys).agg(F.collect_list("level").alias("skip"))
+    ends = levels.select("origin", F.explode(_cuts("level", 1)).alias("c")).select("origin", F.col("c.tail").alias("head")).distinct()
+    alike = paths.select(*keys, F.explode(_cuts("path", 1)).alias("c")).select("origin", "query", F.col("path").alias("longer"), F.col("c.head").alias("head"), F.col("c.tail").alias("path"))
+    alike = alike.join(paths, keys, "left_semi").join(ends, ["origin", "head"], "left_semi").select("origin", "query", F.explode(F.array("path", "longer")).alias("path"))
+    grouped = alike.select(*keys).union(number.where(F.col("n") > CARRIED).select(*keys)).distinct().withColumn("grouped", F.lit(True))
+    paths = paths.join(grouped, keys, "left").join(skip, keys, "left").withColumn("grouped", F.coalesce("grouped", F.lit(False))).persist(StorageLevel.DISK_ONLY)
+
+    many = levels.groupBy("origin").agg(F.count("*").alias("n_levels"))
+    sizes = paths.groupBy("origin").agg(F.count_if("grouped").alias("n_grouped"), F.count_if(~F.col("grouped")).alias("n_plain")).join(many, "origin")
+    pairs = sizes.agg(*[F.coalesce(F.sum(F.col("n_levels").cast("double") * F.col(c)), F.lit(0.0)) for c in ("n_plain", "n_grouped")]).first()
+    least = int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = [max(least, math.ceil(x / PAIRS)) for x in pairs]
+    parts = lambda n, by: F.greatest(F.ceil(F.col(n) / by), F.lit(1)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    score = F.when(F.col("api"), F.col("under_api")).otherwise(F.col("elsewhere")) + F.when(F.col("last") == "", -50).when(F.col("last") == F.col("first"), -3000).otherwise(200)
+    url = F.concat("origin", "level", "path", search)
+
+    sides = sizes.select("origin", parts("n_plain", SIDE).alias("a"), parts("n_levels", SIDE).alias("b"))
+    block = ["origin", "i", "j"]
+    left = paths.where(~F.col("grouped")).join(sides, "origin").withColumns({"i": F.pmod(F.xxhash64("path", "query"), "a").cast("int"), "j": every("b")}).drop("a", "b")
+    right = levels.join(sides, "origin").withColumn("j", F.pmod(F.xxhash64("level"), "b").cast("int")).withColumn("i", every("a")).drop("a", "b")
+    plain = left.repartition(tasks[0], *block).join(right.repartition(tasks[0], *block).hint("merge"), block)
+    plain = plain.where(F.col("skip").isNull() | ~F.array_contains("skip", F.col("level"))).select("origin", url.alias("url"), score.alias("score"))
+    if not pairs[1]:
+        return plain
+
+    deals = sizes.select("origin", parts("n_grouped", PAIRS / F.col("n_levels")).alias("a"))
+    block = ["origin", "i"]
+    some = paths.where("grouped").drop("skip", "grouped").withColumn("known", F.lit(False))
+    met = cuts.join(some, keys, "left_semi").select("origin", F.col("whole").alias("path"), "query").distinct()  # stand for themselves, under the root
+    left = some.unionByName(met.withColumn("known", F.lit(True)), allowMissingColumns=True).join(deals, "origin")
+    left = left.withColumn("i", F.pmod(F.xxhash64("query", F.regexp_extract("path", "([^/]*/?)\\z", 1)), "a").cast("int")).drop("a")
+    right = levels.join(deals, "origin").withColumn("i", every("a")).drop("a")
+    both = left.repartition(tasks[1], *block).join(right.repartition(tasks[1], *block).hint("merge"), block).where(~F.col("known") | (F.col("level") == "/"))
+    once = both.groupBy(*block, url.alias("url")).agg(F.max(score).alias("score"), F.bool_or("known").alias("known"))
+    return plain.unionByName(once.where(~F.col("known")).select("origin", "url", "score"))
+
+
+def best(candidates: DataFrame, k: int, once: bool = False) -> DataFrame:
+    """The k best distinct addresses, by score and then by address. With `once` each address is there once, as permuted() has it,
+    and nothing is grouped."""
+    each = candidates.select("url", "score") if once else candidates.groupBy("url").agg(F.max("score").alias("score"))
+    return each.orderBy(F.col("score").desc(), "url").limit(k)
 
 
 def replay_plan(params: DataFrame, levels: DataFrame, most: int = 500) -> DataFrame:

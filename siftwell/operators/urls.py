@@ -183,10 +183,21 @@ def path_variants(url: Column) -> Column:
     return F.when(p != "", let(F.split(F.regexp_replace(p, "/$", ""), "/"), of))
 
 
-def permutation_score(url: Column, under: Column, variant: Column) -> Column:
-    """How promising an address is that was made of a variant under a level: crossing branches helps, repeating a segment hurts."""
-    last = F.lower(_plain(F.substring_index(F.regexp_replace(under, "/$", ""), "/", -1)))
-    first = F.lower(_plain(F.substring_index(F.btrim(variant["path"], F.lit("/")), "/", 1)))
+def interface(p: Column) -> Column:
+    return p.rlike(API_PATH)
+
+
+def last_of_level(under: Column) -> Column:
+    return F.lower(_plain(F.substring_index(F.regexp_replace(under, "/$", ""), "/", -1)))
+
+
+def variant_scores(variant: Column) -> list[Column]:
+    """Of a variant, how promising it is under a level that is an interface and elsewhere, and its first segment: crossing branches
+    helps, repeating a segment hurts, which is seen when it meets a level. A level ends with a slash, so no word of API_PATH and
+    no extension reaches over its end."""
+    p = F.lower(F.concat(F.lit("/"), variant["path"]))
     slashes = F.length(variant["path"]) - F.length(F.replace(variant["path"], F.lit("/"), F.lit("")))
-    crossing = F.when(last == "", -50).when(last == first, -3000).otherwise(200)
-    return target_score(url) * 100 - variant["trimmed"] * 150 - slashes * 5 + F.when(variant["mount"], 500).otherwise(0) + crossing
+    own = F.when(variant["mount"], 500).otherwise(0) - variant["trimmed"] * 150 - slashes * 5
+    first = F.lower(_plain(F.substring_index(F.btrim(variant["path"], F.lit("/")), "/", 1)))
+    under_api = F.when(extension(p).isin(*["." + x for x in RICH]), 100).otherwise(90)
+    return [(under_api * 100 + own).alias("under_api"), (_score(p, extension(p)) * 100 + own).alias("elsewhere"), first.alias("first")]

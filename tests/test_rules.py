@@ -197,3 +197,47 @@ def test_styled_snippets():
     out = sinks.rendered('const k="topsecret";', "topsecret", True)
     assert sinks.STYLES["match"] + "topsecret" + sinks.RESET in out and sinks.STYLES["keyword"] + "const" + sinks.RESET in out
     assert sinks.rendered("", "x") == ""
+
+
+def crossing(spark):
+    """Addresses whose paths end each other, some under many levels; with them an encoded segment, a query, an asset and a lone origin."""
+    plain = [f"https://x.test{p}" for p in ("/api/v1/users.js", "/shop/api/v1/a.js", "/v1/users.js", "/users.js", "/shop/thing", "/shop/v1/users.js?q=1", "/img/a.png", "/api/", "/shop//v1/b.json", "/a%2Fb/api/rest/users.js")]
+    many = [f"https://y.test/d{i}/{n}" for i in range(8) for n in ("index.html", "sub/main.js")] + ["https://alone.test/a/b.js", "HTTP://x.test/Up#top"]
+    return spark.createDataFrame([(u,) for u in plain + many], "url string")
+
+
+def test_permutations_are_the_best_of_all_pairs(spark, monkeypatch):
+    """Against all pairs in plain Python, in blocks of few rows."""
+    monkeypatch.setattr(frontier, "SIDE", 3)
+    monkeypatch.setattr(frontier, "PAIRS", 256)
+    monkeypatch.setattr(frontier, "CARRIED", 2)
+    pages = crossing(spark)
+    rows = pages.select(urls.origin(F.col("url")).alias("o"), urls.without_fragment(F.col("url")).alias("u"), urls.levels(F.col("url")).alias("l"), urls.path_variants(F.col("url")).alias("v")).collect()
+    made = {}
+    for o in {r.o for r in rows}:
+        own = [r for r in rows if r.o == o]
+        best = {}
+        for v in (v for r in own for v in r.v or []):
+            worth = (500 if v.mount else 0) - 150 * v.trimmed
+            if (v.path, v.query) not in best or worth > best[v.path, v.query][0]:
+                best[v.path, v.query] = (worth, v)
+        if len(own) > 1:
+            for under in {x for r in own for x in r.l}:
+                for worth, v in best.values():
+                    url = o + under + v.path + ("?" + v.query if v.query else "")
+                    last, first = under.rstrip("/").rsplit("/", 1)[-1].lower().replace("%2f", "/"), v.path.strip("/").split("/")[0].lower().replace("%2f", "/")
+                    made.setdefault(url, []).append(worth - 5 * v.path.count("/") + (-50 if not last else -3000 if last == first else 200))
+    own = {r.url: r.s for r in spark.createDataFrame([(u,) for u in made], "url string").select("url", (urls.target_score(F.col("url")) * 100).alias("s")).collect()}
+    expected = sorted((u, own[u] + max(s)) for u, s in made.items() if u not in {r.u for r in rows} and not u.endswith(".png"))
+    got = frontier.permuted(pages, pages)
+    assert sorted(map(tuple, got.collect())) == expected and len(expected) > 200
+    assert [tuple(r) for r in frontier.best(got, 9, once=True).collect()] == sorted(expected, key=lambda x: (-x[1], x[0]))[:9]
+
+
+def test_permutations_of_one_origin_are_dealt_to_as_many_tasks_as_its_pairs_need(spark, monkeypatch):
+    monkeypatch.setattr(frontier, "SIDE", 64, raising=False)
+    monkeypatch.setattr(frontier, "PAIRS", 1 << 14, raising=False)
+    pages = spark.range(4000).select(F.format_string("https://x.test/d%d/p%d", F.col("id") % 300, "id").alias("url"))
+    parts = [r["count"] for r in frontier.permuted(pages, pages).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 301 * 4000 - 4000
+    assert max(parts) < sum(parts) / 8
