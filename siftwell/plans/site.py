@@ -131,7 +131,7 @@ def permute_candidates(spark, sf_dir):
 @B.add("permute_best", f"WITH {PERMUTED} SELECT url, score FROM scored WHERE url NOT IN (SELECT url FROM o) ORDER BY score DESC, url LIMIT 25")
 def permute_best(spark, sf_dir):
     p = _pages(spark, sf_dir)
-    return frontier.best(frontier.permuted(p, p), 25)
+    return frontier.best(frontier.permuted(p, p), 25, once=True)
 
 
 @B.add("scope_filter", f"WITH h AS (SELECT page_id, regexp_replace(lower({part('url', 2)}), '^www\\.', '') AS h FROM pages), b AS (SELECT h AS b FROM h WHERE page_id = 0) SELECT page_id FROM h, b WHERE h = b OR ends_with(h, '.' || b)")
