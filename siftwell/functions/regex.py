@@ -78,3 +78,17 @@ def required_any(pattern: str) -> list[str] | None:
             if best is None or min(map(len, literals)) > min(map(len, best)):
                 best = literals
     return best
+
+
+def required_some(pattern: str, most: int = 32) -> tuple[list[str], bool] | None:
+    """Literals of which every match contains one, and whether their case is free: the longest literal of each form that the
+    pattern takes when its short lists of characters and its groups of plain words are written out, `most` forms at most."""
+    forms = [pattern]
+    choice = re.compile(r"(?<!\\)(?:\[([A-Za-z0-9]{2,8})\]|\((?:\?:)?([A-Za-z0-9_]+(?:\|[A-Za-z0-9_]+)+)\))(?![*?+{])")
+    while "(?i" not in pattern and (found := choice.search(forms[0])) and len(forms) * len(options := found[1] or found[2].split("|")) <= most:
+        forms = [f[: m.start()] + x + f[m.end() :] for f in forms for m in [choice.search(f)] for x in options]
+    literals = [required_literal(f) for f in forms]
+    if any(f is None for f in literals):
+        return None
+    return sorted({f[0] for f in literals}), literals[0][1]
+

@@ -6,9 +6,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import required_any, required_literal, to_java
+from ..functions.columns import let
+from ..functions.regex import required_any, required_literal, required_some, to_java
 from . import filters
-from .rules import Rule, default_rules
+from .rules import DEFAULT, Rule, default_rules
 
 MATCH = ("source", "pattern", "value", "params", "severity", "ord", "line_no")
 
@@ -94,22 +95,51 @@ def _zeros_then_one(groups: Column) -> Column:
     return value.rlike("^0(?::0)*(?::1)?\\z")
 
 
+def _words(rule: Rule) -> tuple[list[str], bool] | None:
+    """Literals of which every match of the rule contains one, and whether their case is free."""
+    some = required_some(rule.pattern)
+    if some is None and (any_of := required_any(rule.pattern)):
+        some = any_of, False
+    return some
+
+
 def _gate(rule: Rule, body: Column, lower: Column) -> Column:
     """What every body with a match of the rule fulfils, as far as that is cheap to see."""
     if rule.name in GATES:
         return body.rlike(GATES[rule.name])
     if rule.name == "path":
         return body.rlike(r"[/\\]")
-    literal = required_literal(rule.pattern)
-    if literal is not None:
-        return (lower if literal[1] else body).contains(literal[0])
-    if some := required_any(rule.pattern):
-        return functools.reduce(Column.__or__, [body.contains(x) for x in some])
+    if (some := _words(rule)) is not None:
+        return functools.reduce(Column.__or__, [(lower if some[1] else body).contains(x) for x in some[0]])
     # to a pattern without anchors the end of a line is like the end of a text, so what matches a line matches the body
-    anchored = re.search(r"[\^$]|\\[AzZ]", re.sub(r"\\[^AzZ]|\[\^?\]?[^\]]*\]", "", rule.pattern))
+    anchored = re.search(r"[\^$]|\\[AzZ]", re.sub(r"\\[^AzZ]|\[\^?\]?[^\]*\]", "", rule.pattern))
     return F.lit(True) if anchored else body.rlike(to_java(rule.pattern))
 
 
+#: What plain prose is mostly without and most rules need: a line without it meets none of these rules, and one search tells.
+MARK = r'[_@:/="\\0-9-]|\.[A-Za-z]|[A-Z]{2}'
+#: Rules whose matches hold a mark beside their literal.
+MARKED = {DEFAULT[n] for n in ("jwt", "aws_secret", "api_key", "token", "password", "hashicorp_vault_token")}
+
+
+def _is_marked(rule: Rule) -> bool:
+    """Whether every line with a match of the rule has a mark."""
+    if rule.name in GATES or rule.name == "path":
+        return rule.name != "long_secret"
+    some = _words(rule)
+    return rule.pattern in MARKED or some is not None and all(re.search(MARK, x) for x in some[0])
+
+
+def _fits(rules: list[Rule], body: Column, whole: bool) -> Column:
+    """Which rules can match in a body, by number; the rules that need a mark are looked for in the lines that have one."""
+    marked = [_is_marked(r) for r in rules]
+    pick = lambda text, of: let(F.lower(text), lambda lower: F.array_compact(F.array(*[F.when(_gate(r, text, lower), F.lit(i)) for i, r in enumerate(rules) if marked[i] == of])))
+    text = body if whole else F.array_join(F.filter(F.split(body, "\n"), lambda x: x.rlike(MARK)), "\n")
+    none = F.array().cast("array<int>")
+    first = F.when(body.rlike(MARK), let(text, lambda t: pick(t, True))).otherwise(none) if any(marked) else none
+    return F.concat(first, pick(body, False)) if not all(marked) else first
+
+
 def scan(artifacts: DataFrame, rules: list[Rule] | None = None, body: str = "body", whole: bool = False) -> DataFrame:
     """Every match of every rule in every line, as MATCH rows; artifacts has source, ord and the body. With `whole` a body is
     one line, whatever it holds.
@@ -119,9 +149,8 @@ def scan(artifacts: DataFrame, rules: list[Rule] | None = None, body: str = "bod
     rules = rules if rules is not None else default_rules()
     if not rules:
         return artifacts.select("source", *[F.lit("").alias(c) for c in MATCH[1:5]], "ord", F.lit(0).alias("line_no")).limit(0)
-    text = artifacts.select("source", "ord", F.col(body).alias("body")).withColumn("lower", F.lower("body"))
-    fits = F.array_compact(F.array(*[F.when(_gate(r, F.col("body"), F.col("lower")), F.lit(i)) for i, r in enumerate(rules)]))
-    some = text.select("source", "ord", "body", fits.alias("fits")).where(F.size("fits") > 0)
+    text = artifacts.select("source", "ord", F.col(body).alias("body"))
+    some = text.withColumn("fits", _fits(rules, F.col("body"), whole)).where(F.size("fits") > 0)
     if whole:
         parts = some.select("source", "ord", "fits", F.lit(0).alias("line_no"), F.col("body").alias("line"))
     else:

@@ -56,7 +56,7 @@ def _scanned(artifacts, once=True):
 
 
 def _found(spark, sf_dir):
-    return _scanned(_documents(spark, sf_dir))
+    return _scanned(_documents(spark, sf_dir), once=False)  # to bring equal bodies together moves all of them, which costs more
 
 
 def _kept(spark, sf_dir):

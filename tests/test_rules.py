@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.functions.regex import required_any, required_literal, to_java
+from siftwell.functions.regex import required_any, required_literal, required_some, to_java
 from siftwell.operators import crawl, dom, filters, frontier, headers, literals, posts, reduce, rules, scan, scripts, urls, verdicts
 from siftwell.sources import sinks
 
@@ -241,3 +241,36 @@ def test_permutations_of_one_origin_are_dealt_to_as_many_tasks_as_its_pairs_need
     parts = [r["count"] for r in frontier.permuted(pages, pages).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(parts) == 301 * 4000 - 4000
     assert max(parts) < sum(parts) / 8
+
+
+def test_literals_of_written_out_forms():
+    assert required_some(rules.DEFAULT["github_token"]) == (["gho_", "ghp_", "ghr_", "ghs_", "ghu_"], False)
+    assert required_some(rules.DEFAULT["stripe_key"])[0] == ["pk_live_", "pk_test_", "rk_live_", "rk_test_", "sk_live_", "sk_test_"]
+    assert required_some(rules.DEFAULT["bearer"]) == (["bearer"], True)
+    assert required_some(r"[ab]?c{2}") is None
+
+
+def test_lines_without_a_mark_are_left_out_and_no_match_is_lost(spark):
+    """Each sample amid plain lines; one search tells which lines need the rules that need a mark."""
+    use = [*rules.default_rules(), *rules.strict_rules()]
+    for r in use:
+        if r.name in SAMPLES and scan._is_marked(r):
+            assert re.search(scan.MARK, SAMPLES[r.name]), r.name
+    more = ["password: Hunter2x9", "token=abcdefghijklmnop", "api key", "hvs." + "a" * 30, "eyJabc.def.ghi", "dapi" + "0" * 32, "555-123-4567", "10.1.2.3", "x /tmp/data", "2001:db8::1", "Z" * 40]
+    plain = "Haanth.\r\nreoush hewh and onon."
+    alone, amid = [*SAMPLES.values(), *more], [f"{plain}\n{x}\r\n{plain}" for x in [*SAMPLES.values(), *more]]
+    assert found(spark, *alone, use=use) == found(spark, *amid, use=use) and len(found(spark, *alone, use=use)) > len(alone)
+
+
+def test_a_name_and_its_mark_may_stand_on_two_lines_of_a_whole_body(spark):
+    a = artifacts(spark, "password\n= Hunter2x9")
+    assert [r.pattern for r in scan.scan(a, whole=True).collect()] == ["password"]
+
+
+def test_scans_of_documents_exchange_no_bodies(spark, tmp_path):
+    from siftwell.plans import corpus
+
+    spark.createDataFrame([(1, "mail a@b.example"), (2, "mail a@b.example"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus.scan_default_rules(spark, str(tmp_path))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.source, r.value) for r in out.collect()) == [("1", "a@b.example"), ("2", "a@b.example")]
